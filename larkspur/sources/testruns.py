@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,13 @@ def noisy_json(text: str | None) -> str | None:
     return None
 
 
-clean_json = F.udf(noisy_json, "string")
+def _noisy_series(s: pd.Series) -> pd.Series:
+    return s.map(noisy_json)
+
+
+def clean_json(text: Column) -> Column:
+    """``noisy_json`` of a column, batch by batch."""
+    return F.pandas_udf(_noisy_series, "string")(text)
 
 
 def _count(text: Column, pattern: str) -> Column:
