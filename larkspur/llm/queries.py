@@ -30,8 +30,8 @@ def oracle_sql() -> dict[str, str]:
         "p5_exact": """
             WITH v AS (SELECT label, min(CAST(embedding AS DOUBLE[])) AS e FROM symbol_vectors
                 WHERE label IS NOT NULL AND len(embedding) = 32
-                  AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = 32
-                  AND len(list_filter(embedding, x -> x <> 0)) > 0 GROUP BY label),
+                  AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 32
+                  AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY label),
             d AS (SELECT a.label, b.label AS other, round(1 - list_cosine_similarity(a.e, b.e), 6) + 0.0 AS distance
                 FROM v a JOIN v b ON a.label <> b.label WHERE a.label % 50 = 0)
             SELECT label, other, distance FROM d
