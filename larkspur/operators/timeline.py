@@ -28,7 +28,7 @@ def thin(events: DataFrame, key: str, at: str, id_: str, gap: int, block: int |
     block = block or gap * 256
     rows = events.where(F.col(at).isNotNull()).withColumn("_b", F.floor(F.col(at) / block)).withColumn("_k", F.coalesce(F.col(key).cast("string"), F.lit("\0")))
 
-    def summarise(keys, pdf: pd.DataFrame) -> pd.DataFrame:
+    def summarise(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         ts = np.sort(pdf[at].to_numpy(np.int64))
         nxt = _jump(ts, gap)
         last = np.empty(len(ts), np.int64)
@@ -40,7 +40,7 @@ def thin(events: DataFrame, key: str, at: str, id_: str, gap: int, block: int |
         # an event after the inherited one: outcome by the first start at or after it
         return pd.DataFrame({"_k": [keys[0]], "_b": [keys[1]], "starts": [[int(starts[c]) for c in np.r_[change[1:] - 1, len(starts) - 1]]], "lasts": [[int(last[c]) for c in change]], "all": [int(ts[-1])]})
 
-    def fold(keys, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_b")
         kept, out = None, []
         for b, starts, lasts, end in zip(pdf["_b"], pdf["starts"], pdf["lasts"], pdf["all"]):
@@ -53,7 +53,7 @@ def thin(events: DataFrame, key: str, at: str, id_: str, gap: int, block: int |
 
     columns = events.columns
 
-    def emit(keys, pdf: pd.DataFrame) -> pd.DataFrame:
+    def emit(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([at, id_], kind="stable")
         ts = pdf[at].to_numpy(np.int64)
         before = pdf["_last"].iloc[0]

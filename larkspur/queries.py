@@ -1,16 +1,414 @@
-"""The core's queries and their SQL."""
+"""The core's queries over the given tables, and the SQL that says the same.
+
+Each applies one operator to whole tables. Where the SQL of an operator would be another program (parsers,
+extraction, edits), there is none and the operator is tested on fixtures.
+"""
 
 from __future__ import annotations
 
-from .operators import shred
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import paths, text
+from .operators import diagnostics, extract, fuzzy, graph, index, joins, plantree, search, shred, timeline
 from .plans.tables import table
 
+HOUR, MINUTE, DAY = 3_600_000_000, 60_000_000, 86_400_000_000
+
+
+def _days(column: str) -> F.Column:
+    return F.unix_date(F.col(column).cast("date"))
+
+
+def _events(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "events").withColumn("us", timeline.micros(F.col("ts")))
+
+
+# search --------------------------------------------------------------------------------------------
+
+
+def knn_topk(s, d):
+    """The ten nearest vectors to vector 0."""
+    rows = table(s, d, "embeddings")
+    return search.knn(rows, rows.where("vec_id = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q")), "vec_id", "embedding", 10).select("vec_id", "score")
+
+
+def knn_scoped(s, d):
+    rows = table(s, d, "embeddings")
+    return search.knn(rows, rows.where("vec_id = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q")), "vec_id", "embedding", 10, F.col("label") == 3).select("vec_id", "score")
+
+
+def grep_content(s, d):
+    return search.grep(table(s, d, "documents"), "text", "the", ["doc_id"], ignore_case=True)
+
+
+def grep_files(s, d):
+    return search.grep_files(search.grep(table(s, d, "documents"), "text", "lease", ["doc_id"]), ["doc_id"])
+
+
+def grep_count(s, d):
+    return search.grep_count(search.grep(table(s, d, "documents"), "text", "the", ["doc_id"], ignore_case=True), ["doc_id"])
+
+
+def grep_code_glob(s, d):
+    return search.grep(table(s, d, "source_files"), "content", "return ", ["file_id"], glob=F.col("file").endswith(".py")).select("file_id", "line_no")
+
+
+def text_search(s, d):
+    """Lines of code with ``log.`` and the outline symbol that holds each."""
+    hits = search.grep(table(s, d, "source_files"), "content", r"log\.", ["file_id"])
+    symbols = table(s, d, "outline_symbols").select("file_id", "name", "start_line", "end_line").distinct()
+    return search.text_search(hits, symbols, ["file_id"]).select("file_id", "line_no", "name")
+
+
+# joins ---------------------------------------------------------------------------------------------
+
+
+def _visits(s, d):
+    lines = table(s, d, "lineitem").join(table(s, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    points = lines.select(F.col("o_custkey").alias("cust"), "l_orderkey", "l_linenumber", _days("l_shipdate").alias("day"))
+    spans = table(s, d, "orders").select(F.col("o_custkey").alias("cust"), "o_orderkey", _days("o_orderdate").alias("s"))
+    return points, spans
+
+
+def interval_first(s, d):
+    points, spans = _visits(s, d)
+    pairs = joins.interval_join(points, spans.withColumn("e", F.col("s") + 30), ["cust"], "day", "s", "e", 30)
+    return joins.first_interval(pairs, ["l_orderkey", "l_linenumber", "day"], "s", ["o_orderkey"]).select("l_orderkey", "l_linenumber", "o_orderkey")
+
+
+def interval_innermost(s, d):
+    points, spans = _visits(s, d)
+    both = spans.withColumn("e", F.col("s") + 30).unionByName(spans.withColumn("e", F.col("s") + 90))
+    pairs = joins.interval_join(points, both, ["cust"], "day", "s", "e", 60)
+    got = joins.first_interval(pairs, ["l_orderkey", "l_linenumber", "day"], "s", ["o_orderkey"], "e")
+    return got.select("l_orderkey", "l_linenumber", "o_orderkey", (F.col("e") - F.col("s")).alias("span"))
+
+
+def asof_backward(s, d):
+    """Each purchase with the latest view of its user at or before it."""
+    e = _events(s, d)
+    left = e.where("event_type = 'purchase'").select("event_id", "user_id", "us")
+    right = e.where("event_type = 'view'").select("user_id", "us", F.col("event_id").alias("view_id"), "event_id")
+    return joins.asof_backward(left, right, "user_id", "us", "event_id", ["view_id"], DAY).select("event_id", "view_id")
+
+
+def longest_prefix(s, d):
+    """Each source file's deepest directory that is the directory of a file with at least 5 symbols."""
+    files = table(s, d, "source_files").select("file_id", "file", "symbols")
+    roots = files.where("symbols >= 5").select(paths.directory(F.col("file")).alias("root")).where("root <> ''").distinct()
+    return joins.longest_prefix(files.select("file_id", "file"), F.col("file"), roots, "root", ["file_id"]).select("file_id", "root")
+
+
+def all_prefixes(s, d):
+    files = table(s, d, "source_files").select("file_id", "file", "symbols")
+    roots = files.where("symbols >= 5").select(paths.directory(F.col("file")).alias("root")).where("root <> ''").distinct()
+    return joins.longest_prefix(files.select("file_id", "file"), F.col("file"), roots, "root", ["file_id"], every=True).groupBy("file_id").agg(F.count("*").alias("roots"))
+
+
+def first_candidate(s, d):
+    """Each import that names a file with the first candidate present in the same workspace."""
+    files = table(s, d, "source_files")
+    rows = files.select("file_id", "workspace", "file", F.explode("imports").alias("source")).where("source like './%' or source like '../%'").distinct()
+    target = paths.fold_dots(F.concat_ws("/", paths.directory(F.col("file")), F.col("source")))
+    cand = F.array(target, F.concat(target, F.lit(".ts")), F.regexp_replace(target, r"\.js$", ".ts"), F.concat(target, F.lit("/index.ts")))
+    known = files.select("workspace", F.col("file").alias("path")).distinct()
+    spread = rows.select("file_id", "workspace", "source", F.posexplode(cand).alias("p", "path"))
+    return spread.join(known, ["workspace", "path"]).groupBy("file_id", "source").agg(F.min_by("path", "p").alias("resolved"))
+
+
+def ref_left_join(s, d):
+    """Words of part names against brands' first words, the unresolved kept."""
+    p = table(s, d, "part")
+    refs = p.select("p_partkey", F.explode(F.split("p_name", " ")).alias("word")).distinct()
+    known = p.select(F.split("p_name", " ")[0].alias("word")).distinct()
+    return joins.unresolved_left(refs, known, ["word"], "word").select("p_partkey", "word")
+
+
+def outline_tree(s, d):
+    return joins.children_of(table(s, d, "region").select("r_regionkey", "r_name"), table(s, d, "nation").withColumnRenamed("n_regionkey", "r_regionkey"), "r_regionkey", "n_name", ["n_name"], "nations")
+
+
+def enclosing_symbol(s, d):
+    """Each outline symbol with the smallest other one of its file that encloses it."""
+    o = table(s, d, "outline_symbols").select("file_id", "symbol_id", "start_line", "end_line").dropna().dropDuplicates(["symbol_id"])
+    return joins.enclosing(o, "file_id", "start_line", "end_line", ["symbol_id"]).select("symbol_id", F.col("parent.symbol_id").alias("parent_id"))
+
+
+def anti_embed(s, d):
+    """Ids of outline symbols that have no vector yet."""
+    o = table(s, d, "outline_symbols")
+    ids = o.select(F.concat(F.lit("/ws/"), "workspace", F.lit("/"), "file", F.lit("::"), "name", F.lit("::"), F.col("start_line").cast("string")).alias("id")).where("id is not null").distinct()
+    return index.missing_ids(ids, table(s, d, "symbol_vectors"))
+
+
+def live_vectors(s, d):
+    o = table(s, d, "outline_symbols")
+    ids = o.select(F.concat(F.lit("/ws/"), "workspace", F.lit("/"), "file", F.lit("::"), "name", F.lit("::"), F.col("start_line").cast("string")).alias("id")).where("id is not null").distinct()
+    return table(s, d, "symbol_vectors").select("label", "id").distinct().join(ids, "id", "left_semi").select("label", "id")
+
+
+# graph and index -----------------------------------------------------------------------------------
+
+
+def _graph(s, d):
+    pairs = table(s, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"))
+    return graph.edges(pairs)
+
+
+def _parts(s, d):
+    return table(s, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("file"), "p_type", "p_size")
+
+
+def typeref_edges(s, d):
+    """Files linked by type names: nations that share a first letter with a region's."""
+    refs = table(s, d, "nation").select(F.col("n_name").alias("file"), F.substring("n_name", 1, 1).alias("name"))
+    return graph.reference_edges(refs, refs)
+
+
+def in_degree(s, d):
+    return graph.in_degree(_parts(s, d).select("file"), _graph(s, d))
+
+
+def file_rank(s, d):
+    degrees = graph.in_degree(_parts(s, d), _graph(s, d))
+    return graph.ranks(degrees, F.col("p_size") > 40, F.col("p_size") < 10).select("file", F.round("rank", 6).alias("rank"))
+
+
+def edge_count(s, d):
+    return _graph(s, d).agg(F.count("*").alias("edges"))
+
+
+def graph_nodes(s, d):
+    return graph.nodes(_graph(s, d))
+
+
+def snapshot_diff(s, d):
+    """Documents against a snapshot in which some are gone, some changed and some new."""
+    old = table(s, d, "documents").select("doc_id", "n_chars")
+    new = old.where("doc_id % 7 <> 0").withColumn("n_chars", F.when(F.col("doc_id") % 5 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))).unionByName(old.where("doc_id % 11 = 0").withColumn("doc_id", F.col("doc_id") + 10_000_000))
+    return index.snapshot_diff(old, new, "doc_id", "n_chars")
+
+
+def upsert_latest(s, d):
+    return index.latest_by(_events(s, d), ["user_id", "event_type"], ["event_id", "value"], ["us", "event_id"]).select("user_id", "event_type", "event_id", "value")
+
+
+def newest_files(s, d):
+    """The newest row of each file met again."""
+    f = table(s, d, "source_files").select("workspace", "file", "file_id", F.unix_micros("indexed_at").alias("us"))
+    return index.latest_by(f, ["workspace", "file"], ["file_id"], ["us", "file_id"])
+
+
+def index_summary(s, d):
+    files = table(s, d, "source_files").select(F.col("file_id").alias("file"), "lines", "rank", "imports", "exports")
+    o = table(s, d, "outline_symbols").select("symbol_id", F.col("file_id").alias("file"), "end_line").dropDuplicates(["symbol_id"])
+    im = files.select("file", F.explode("imports").alias("source"))
+    ex = files.select("file", F.explode("exports").alias("name"))
+    got = index.summary(files.select("file", "lines"), o, files.select("file", "rank"), im, ex)
+    return got.select("file", "lines", "symbols", F.round("rank", 6).alias("rank"), F.array_join("imports", ",").alias("imports"), F.array_join("exports", ",").alias("exports"))
+
+
+def lang_stats(s, d):
+    o = table(s, d, "outline_symbols").withColumn("language", paths.language(F.col("file")))
+    return index.language_stats(o)
+
+
+def dir_summary(s, d):
+    return index.directory_summary(table(s, d, "source_files"))
+
+
+def symbol_lookup(s, d):
+    return index.lookup_partial(table(s, d, "outline_symbols").select("symbol_id", "name").distinct(), "shard")
+
+
+def resolver(s, d):
+    o = table(s, d, "outline_symbols").select("symbol_id", "name", "file", "start_line", "end_line").distinct()
+    return index.resolve(o, "Shard").select("symbol_id", "tier")
+
+
+def serialize_text(s, d):
+    p = table(s, d, "part")
+    return p.select("p_partkey", index.serialise(F.lit("part"), F.col("p_name"), F.concat("p_brand", F.lit(": "), "p_type"), F.lit(""), F.col("p_brand")).alias("text"), index.symbol_id(F.col("p_brand"), F.col("p_name"), F.col("p_size")).alias("id"))
+
+
+def token_budget_prefix(s, d):
+    docs = table(s, d, "documents").select("doc_id", F.coalesce(source_of("source"), F.lit("")).alias("source"), "n_chars").where("n_chars is not null")
+    return index.within_budget(docs, ["source"], [F.col("doc_id")], text.token_estimate(F.col("n_chars")), 20_000).select("doc_id", "running")
+
+
+def source_of(column: str) -> F.Column:
+    return F.lower(F.trim(column))
+
+
+def top_files(s, d):
+    f = table(s, d, "source_files").select("file_id", F.coalesce("rank", F.lit(0.0)).alias("rank"), F.col("file_id").alias("file"))
+    return index.tiered_top(f, f.count()).select("file_id", F.round("rank", 6).alias("rank"))
+
+
+def siblings(s, d):
+    o = table(s, d, "outline_symbols").select("symbol_id", "file_id", "name", "start_line").dropDuplicates(["symbol_id"])
+    return timeline.siblings(o, "file_id", ["start_line", "symbol_id"], "name").select("symbol_id", "previous", "following")
+
+
+def did_you_mean(s, d):
+    return search.did_you_mean(table(s, d, "nation").select("n_name"), "n_name", "nation_1", 3)
+
+
+# diagnostics ---------------------------------------------------------------------------------------
+
+
+def _diagnostics(s, d):
+    level = F.when(F.col("event_type") == "error", 1).when(F.col("event_type") == "purchase", 2).when(F.col("event_type") == "signup", 3).otherwise(4)
+    return table(s, d, "events").select("event_id", level.alias("severity"), F.concat(F.lit("u"), "user_id").alias("file"), F.col("event_id").alias("line"), F.when(F.col("user_id") % 5 > 0, F.concat(F.lit("r"), F.col("user_id") % 5)).alias("root"))
+
+
+def diag_query(s, d):
+    return diagnostics.query(_diagnostics(s, d), "warning").select("event_id", "severity", "file")
+
+
+def diag_summary(s, d):
+    return diagnostics.summary(_diagnostics(s, d))
+
+
+def diag_by_group(s, d):
+    return diagnostics.summary_by(_diagnostics(s, d))
+
+
+def diag_filtered_after_limit(s, d):
+    return diagnostics.summary(diagnostics.query(_diagnostics(s, d), "info", root="r1"))
+
+
+def run_errors(s, d):
+    """Reported errors of the index runs by workspace."""
+    runs = table(s, d, "index_runs").dropDuplicates(["run_id"])
+    return runs.select("workspace", F.explode_outer("errors").alias("e")).groupBy("workspace").agg(F.count("e").alias("errors"), F.countDistinct("e.file").alias("files"))
+
+
+# time ----------------------------------------------------------------------------------------------
+
+
+def dedup_thinning(s, d):
+    return timeline.thin(_events(s, d).select("event_id", "event_type", "us"), "event_type", "us", "event_id", HOUR).select("event_id", "event_type")
+
+
+def debounce_session(s, d):
+    return timeline.debounce(_events(s, d).select("event_id", "event_type", "us"), "event_type", "us", "event_id", 30 * MINUTE).select("event_id", "event_type")
+
+
+# trees ---------------------------------------------------------------------------------------------
+
+
+def _tasks(s, d):
+    flat = shred.plan_entities(shred.shred(table(s, d, "plan_records"))).where("entity = 'task'")
+    return flat.select(F.col("rec_id").alias("plan_id"), "path", "parent", "status", (F.col("checkpoint") == "true").alias("checkpoint"))
+
+
+def p1_progress(s, d):
+    return plantree.progress(_tasks(s, d))
+
+
+def p1_promoted(s, d):
+    return plantree.promote(_tasks(s, d)).select("plan_id", "path", "status")
+
+
+def p1_current(s, d):
+    return plantree.current_task(_tasks(s, d))
+
+
+def p1_pending_checkpoints(s, d):
+    saved = shred.plan_entities(shred.shred(table(s, d, "plan_records"))).where("entity = 'checkpoint'").select(F.col("rec_id").alias("plan_id"), F.col("taskid").alias("path"))
+    return plantree.pending_checkpoints(_tasks(s, d), saved).select("plan_id", "path")
+
+
+def p1_context(s, d):
+    flat = shred.plan_entities(shred.shred(table(s, d, "plan_records"))).withColumnRenamed("rec_id", "plan_id")
+    entries = flat.where("entity in ('finding', 'decision', 'file')").select("plan_id", "entity", "path", "parent", "text")
+    return plantree.context_rollup(entries, _tasks(s, d))
+
+
+def p1_entities(s, d):
+    return shred.plan_entities(shred.shred(table(s, d, "plan_records")))
+
+
+def tree_rollup(s, d):
+    c = table(s, d, "customer").join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    done = c.select(F.col("n_regionkey").alias("plan_id"), F.when(F.col("c_acctbal") > 0, "completed").otherwise("pending").alias("status"))
+    return plantree.progress(done)
+
+
+# text and edits ------------------------------------------------------------------------------------
+
+
+def snippet3(s, d):
+    return table(s, d, "documents").where("text is not null").select("doc_id", text.first_lines(F.col("text")).alias("snippet"))
+
+
+def sliding_block_match(s, d):
+    """Two-line blocks of documents that stand in more than one place."""
+    lines = search.numbered_lines(table(s, d, "documents").where("text is not null"), "text", ["doc_id"])
+    blocks = fuzzy.sliding_blocks(lines, ["doc_id"], 2).where("length(block) > 40")
+    return blocks.groupBy("block").agg(F.count("*").alias("places"), F.countDistinct("doc_id").alias("documents")).where("places > 1")
+
+
+def fuzzy_levenshtein(s, d):
+    return fuzzy.near_names(table(s, d, "part"), "p_brand", "p_name", "p_partkey", 3)
+
+
+def json_props(s, d):
+    return table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+
+
+def text_scalars(s, d):
+    p = table(s, d, "part")
+    return p.select("p_partkey", text.slug(F.concat("p_name", F.lit(" "), "p_type")).alias("slug"), paths.short_name(F.concat("p_brand", F.lit("."), "p_name")).alias("short"), text.token_estimate(F.length("p_name")).alias("tokens"), text.one_space(F.concat(F.lit("  "), "p_name", F.lit("   x "))).alias("spaced"), text.bytes_text((F.col("p_size") * 100).cast("long")).alias("size"))
+
+
+def set_operations(s, d):
+    """Union, difference and intersection of supplier and customer nations."""
+    a, b = table(s, d, "supplier").select(F.col("s_nationkey").alias("k")), table(s, d, "customer").select(F.col("c_nationkey").alias("k"))
+    tag = lambda df, name: df.select(F.lit(name).alias("op"), "k")
+    return tag(a.union(b).distinct(), "union").union(tag(b.subtract(a), "except")).union(tag(a.intersect(b), "intersect"))
+
+
+def file_page(s, d):
+    lines = search.numbered_lines(table(s, d, "source_files").where("file_id = 1"), "content", ["file_id"])
+    from .sources.files import read_page
+
+    return read_page(lines, 3, 10).select("file_id", "line_no", "line")
+
+
+def glob_files(s, d):
+    from .sources.files import glob_regex
+
+    return table(s, d, "source_files").where(F.col("file").rlike(glob_regex("src/**/*.{ts,py}"))).select("file_id", "file")
+
+
+def symbols_extract(s, d):
+    files = table(s, d, "source_files").select(F.col("file_id").cast("string").alias("id"), "file", "content")
+    return extract.symbols(files)
+
+
+def imports_extract(s, d):
+    return extract.imports(table(s, d, "source_files").select("file", "content"))
+
+
+def type_refs_extract(s, d):
+    return extract.type_references(table(s, d, "source_files").select("file", "content"))
+
 
 def queries() -> dict:
-    return {
-        "p1_found": lambda s, d: shred.plan_nodes(table(s, d, "plan_records")),
-    }
+    named = [
+        knn_topk, knn_scoped, grep_content, grep_files, grep_count, grep_code_glob, text_search, interval_first, interval_innermost, asof_backward, longest_prefix, all_prefixes, first_candidate,
+        ref_left_join, outline_tree, enclosing_symbol, anti_embed, live_vectors, typeref_edges, in_degree, file_rank, edge_count, graph_nodes, snapshot_diff, upsert_latest, newest_files, index_summary,
+        lang_stats, dir_summary, symbol_lookup, resolver, serialize_text, token_budget_prefix, top_files, siblings, did_you_mean, diag_query, diag_summary, diag_by_group, diag_filtered_after_limit,
+        run_errors, dedup_thinning, debounce_session, tree_rollup, snippet3, sliding_block_match, fuzzy_levenshtein, json_props, text_scalars, set_operations, file_page, glob_files,
+        symbols_extract, imports_extract, type_refs_extract, p1_entities, p1_progress, p1_promoted, p1_current, p1_pending_checkpoints, p1_context,
+    ]
+    return {"p1_found": lambda s, d: shred.plan_nodes(table(s, d, "plan_records"))} | {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .oracle import SQL
+
+    return SQL
