@@ -20,7 +20,7 @@ def each_line(text: Column, change) -> Column:
 
 
 def trim_lines(text: Column) -> Column:
-    return each_line(text, F.trim)
+    return each_line(text, lambda x: F.trim(x))
 
 
 def one_space(text: Column) -> Column:

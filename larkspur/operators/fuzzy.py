@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import TYPOGRAPHY_FROM, TYPOGRAPHY_TO
 
@@ -124,7 +125,7 @@ def apply_edits(rows: DataFrame) -> DataFrame:
 
     Edits of a row apply one after the other to the changed text; null content gives null.
     """
-    schema = rows.schema.add("result", "string").add("strategies", "array<string>")
+    schema = T.StructType([*rows.schema.fields, T.StructField("result", T.StringType()), T.StructField("strategies", T.ArrayType(T.StringType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

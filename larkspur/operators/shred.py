@@ -233,18 +233,11 @@ def shred(df: DataFrame, id_col: str = "rec_id", raw_col: str = "raw", shape: Sh
     return df.select(F.col(id_col).cast("long").alias("rec_id"), F.col(raw_col).cast("string").alias("raw")).mapInArrow(run, ADJACENCY)
 
 
-_TASK = r"tasks\[\d+\](?:\.subtasks\[\d+\])*"
-#: entity, pattern of its node, pattern of the owner's node, prefix of the flat path
-_PLAN_ENTITIES = (
-    ("task", rf"^{_TASK}$"),
-    ("finding", rf"^{_TASK}\.context\.findings\[\d+\]$"),
-    ("decision", rf"^{_TASK}\.context\.decisions\[\d+\]$"),
-    ("file", rf"^{_TASK}\.context\.files\[\d+\]$"),
-    ("checkpoint", r"^checkpoints\[\d+\]$"),
-    ("agg_finding", r"^checkpoints\[\d+\]\.aggregated\.findings\[\d+\]$"),
-    ("agg_decision", r"^checkpoints\[\d+\]\.aggregated\.decisions\[\d+\]$"),
-    ("agg_file", r"^checkpoints\[\d+\]\.aggregated\.files\[\d+\]$"),
-)
+#: entity by the labels on the way to its node, subtasks left out
+_PLAN_ENTITIES = {
+    "tasks": "task", "tasks.context.findings": "finding", "tasks.context.decisions": "decision", "tasks.context.files": "file",
+    "checkpoints": "checkpoint", "checkpoints.aggregated.findings": "agg_finding", "checkpoints.aggregated.decisions": "agg_decision", "checkpoints.aggregated.files": "agg_file",
+}
 PLAN_ATTRIBUTES = ("id", "title", "status", "notes", "checkpoint", "taskid", "completedat", "summary")
 
 
@@ -254,7 +247,10 @@ def plan_entities(adjacent: DataFrame) -> DataFrame:
     Object nodes meet their scalar children on the key (rec_id, node): a scalar that is no entity itself
     carries its parent's key, so one grouping is both the outer join and the pivot.
     """
-    entity = F.coalesce(*(F.when(F.col("node").rlike(p), F.lit(e)) for e, p in _PLAN_ENTITIES))
+    # no repeated groups here: their matching is recursive and nesting has no bound
+    labels = F.regexp_replace("node", r"\[\d+\]", "")
+    labels = F.when(~labels.contains("context.subtasks"), F.replace(labels, F.lit(".subtasks"), F.lit("")))
+    entity = F.coalesce(*(F.when(labels == p, F.lit(e)) for p, e in _PLAN_ENTITIES.items()))
     keyed = adjacent.select(
         "rec_id", "node", "parent", "label", "scalar", entity.alias("entity")
     ).where(F.col("entity").isNotNull() | ((F.col("parent") != "") & F.col("label").isin(*PLAN_ATTRIBUTES)))

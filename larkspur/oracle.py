@@ -49,6 +49,9 @@ SQL: dict[str, str] = {
     "longest_prefix": f"""WITH {_ROOTS} SELECT file_id, root FROM f JOIN r ON file = root OR starts_with(file, root || '/')
         QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY length(root) DESC, root) = 1""",
     "all_prefixes": f"WITH {_ROOTS} SELECT file_id, count(*) AS roots FROM f JOIN r ON file = root OR starts_with(file, root || '/') GROUP BY file_id",
+    "first_candidate": """WITH k AS (SELECT p_type AS target FROM part WHERE p_size > 45 UNION SELECT p_brand FROM part WHERE p_size > 40),
+        c AS (SELECT p_partkey, p_type AS target, 0 AS candidate FROM part UNION ALL SELECT p_partkey, p_brand, 1 FROM part)
+        SELECT p_partkey, target, candidate FROM c SEMI JOIN k USING (target) QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY candidate, target) = 1""",
     "ref_left_join": """WITH w AS (SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part), k AS (SELECT DISTINCT string_split(p_name, ' ')[1] AS word FROM part)
         SELECT p_partkey, CASE WHEN k.word IS NULL THEN w.word || ' (unresolved)' ELSE w.word END AS word FROM w LEFT JOIN k ON w.word = k.word""",
     "outline_tree": "SELECT r_regionkey, r_name, coalesce(string_agg(n_name, ', ' ORDER BY n_name), '') AS nations, count(n_name) AS n_nations FROM region LEFT JOIN nation ON r_regionkey = n_regionkey GROUP BY ALL",

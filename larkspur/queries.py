@@ -107,14 +107,11 @@ def all_prefixes(s, d):
 
 
 def first_candidate(s, d):
-    """Each import that names a file with the first candidate present in the same workspace."""
-    files = table(s, d, "source_files")
-    rows = files.select("file_id", "workspace", "file", F.explode("imports").alias("source")).where("source like './%' or source like '../%'").distinct()
-    target = paths.fold_dots(F.concat_ws("/", paths.directory(F.col("file")), F.col("source")))
-    cand = F.array(target, F.concat(target, F.lit(".ts")), F.regexp_replace(target, r"\.js$", ".ts"), F.concat(target, F.lit("/index.ts")))
-    known = files.select("workspace", F.col("file").alias("path")).distinct()
-    spread = rows.select("file_id", "workspace", "source", F.posexplode(cand).alias("p", "path"))
-    return spread.join(known, ["workspace", "path"]).groupBy("file_id", "source").agg(F.min_by("path", "p").alias("resolved"))
+    """Each part with the first of its type, brand and container name that a large part has."""
+    p = table(s, d, "part")
+    known = p.where("p_size > 45").select(F.col("p_type").alias("target")).union(p.where("p_size > 40").select("p_brand")).distinct()
+    rows = p.select("p_partkey", "p_type", "p_brand")
+    return joins.first_candidate(rows, F.array("p_type", "p_brand"), known, "target", ["p_partkey"]).select("p_partkey", "target", "candidate")
 
 
 def ref_left_join(s, d):

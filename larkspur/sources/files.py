@@ -15,7 +15,10 @@ MAX_BYTES = 1_000_000
 
 
 def listing(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
-    """(path, size, mtime) of every file under a root, relative; ``content`` is read only when asked for."""
+    """(path, size, mtime) of every file under a root, relative; ``content`` is read only when asked for.
+
+    Spark's own listing leaves out names that begin with a dot or an underscore.
+    """
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     rel = F.regexp_replace("path", r"^(?:file:)?/*" + re.escape(root.strip("/")) + "/", "")
     cols = [rel.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime")]
