@@ -98,8 +98,9 @@ SQL: dict[str, str] = {
     "run_errors": """WITH r AS (SELECT run_id, any_value(workspace) AS workspace, any_value(errors) AS errors FROM index_runs GROUP BY run_id), w AS (SELECT DISTINCT workspace FROM r),
         e AS (SELECT workspace, unnest(errors) AS e FROM r)
         SELECT w.workspace, count(e.e) AS errors, count(DISTINCT e.e.file) AS files FROM w LEFT JOIN e ON w.workspace = e.workspace GROUP BY w.workspace""",
-    "dedup_thinning": """WITH RECURSIVE e AS (SELECT event_id, event_type, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),
-        j AS (SELECT a.event_type, a.n, min(b.n) AS m FROM e a JOIN e b ON a.event_type = b.event_type AND b.ts >= a.ts + INTERVAL 1 HOUR GROUP BY ALL),
+    "dedup_thinning": """WITH RECURSIVE e AS MATERIALIZED (SELECT event_id, event_type, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),
+        t AS MATERIALIZED (SELECT event_type, ts, min(n) AS n FROM e GROUP BY ALL),
+        j AS MATERIALIZED (SELECT a.event_type, a.n, t.n AS m FROM (SELECT *, ts + INTERVAL 1 HOUR AS due FROM e) a ASOF JOIN t ON a.event_type = t.event_type AND a.due <= t.ts),
         c AS (SELECT event_type, 1::BIGINT AS n FROM e WHERE n = 1 UNION ALL SELECT c.event_type, j.m FROM c JOIN j ON c.event_type = j.event_type AND c.n = j.n)
         SELECT e.event_id, e.event_type FROM c JOIN e ON c.event_type = e.event_type AND c.n = e.n""",
     "debounce_session": "SELECT event_id, event_type FROM (SELECT *, lead(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS f FROM events) WHERE f IS NULL OR f - ts >= INTERVAL 30 MINUTE",
