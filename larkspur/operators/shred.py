@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.tables import spread
+
 ADJACENCY = "rec_id bigint, node string, parent string, label string, ordinal int, kind string, scalar string"
 ROWS_PER_BATCH = 50_000
 
@@ -230,7 +232,7 @@ def shred(df: DataFrame, id_col: str = "rec_id", raw_col: str = "raw", shape: Sh
         if rows:
             yield flush()
 
-    return df.select(F.col(id_col).cast("long").alias("rec_id"), F.col(raw_col).cast("string").alias("raw")).mapInArrow(run, ADJACENCY)
+    return spread(df.select(F.col(id_col).cast("long").alias("rec_id"), F.col(raw_col).cast("string").alias("raw"))).mapInArrow(run, ADJACENCY)
 
 
 #: entity by the labels on the way to its node, subtasks left out
