@@ -50,6 +50,10 @@ class Language:
         """-1: valid, -2: ends too early, else index of the failing token."""
         return self.machine.run(self.tokens(text), self.start, self.skip, self.brk)
 
+    def ordinal(self, text: str, index: int) -> int:
+        """The failing token's place among the tokens that mean something, from 0."""
+        return sum(t != self.skip and t != self.brk for t in self.tokens(text)[:index])
+
     def offset(self, text: str, index: int) -> int:
         """Character offset of a token."""
         if self.layout:
@@ -81,8 +85,7 @@ def _javascript(ts: bool) -> Language:
     a, t, g, b = m.arena, m.t, m.g, m.bodies
     cat, alt, opt, star, plus, sep = a.cat, a.alt, a.opt, a.star, a.plus, a.seplist
     soft = "id " + " ".join(_JS_SOFT)
-    ids, comma = t(soft), m.index[","]
-    comma = t(",")
+    ids, comma = t(soft), t(",")
     any_name = t(soft, " ".join(_JS_RESERVED))
     # types: prefix operators and atoms joined by operators
     angle_body = alt(t("id str num tmpl . , | & < > => ? : = pm this void null true false typeof in extends const new super import ...", " ".join(_JS_SOFT)), t("binop"), g("[", "TypeSoup", "]"), g("(", "TypeSoup", ")"), g("{", "TypeSoup", "}"))
@@ -108,7 +111,6 @@ def _javascript(ts: bool) -> Language:
     post = star(alt(cat(t(". ?."), alt(any_name, t("priv"))), cat(opt(t("?.")), g("[", "Index", "]")), cat(opt(t("?.")), calls), cat(angles, calls) if ts else 0, t("not") if ts else 0, t("incdec"), cat(t("as satisfies"), alt(type_, t("const"))) if ts else 0))
     unary = t("pm not incdec typeof void delete await yield new")
     unary = alt(unary, cat(t("yield"), t("*")))
-    ops = t("binop pm < > * ** | & in instanceof as" if not ts else "binop pm < > * ** | & in instanceof")
     ops = t("binop pm < > * ** | & in instanceof")
 
     def binary(first: int) -> int:
@@ -133,7 +135,7 @@ def _javascript(ts: bool) -> Language:
     expr_stmt = cat(assignment(plain), star(comma, assign), t(";"))
     b["Expr"] = b["Index"] = expr
     b["Args"] = opt(sep(cat(opt(t("...")), assign), comma))
-    b["Array"] = star(alt(comma, cat(opt(t("...")), assign, comma))) if False else cat(star(comma), opt(cat(opt(t("...")), assign), star(plus(comma), opt(t("...")), assign), star(comma)))
+    b["Array"] = cat(star(comma), opt(cat(opt(t("...")), assign), star(plus(comma), opt(t("...")), assign), star(comma)))
     prop_name = alt(any_name, t("str num priv"), g("[", "Index", "]"))
     method = cat(star(t("async get set static")), opt(t("*")), prop_name, opt(t("?")) if ts else 1, fn_tail)
     b["Object"] = opt(sep(alt(cat(t("..."), assign), cat(prop_name, t(":"), assign), cat(ids, opt(t("="), assign)), method), comma))
@@ -146,7 +148,8 @@ def _javascript(ts: bool) -> Language:
     field = cat(opt(t("? not")) if ts else 1, annotation, opt(t("="), assign), t(";"))
     method_tail = cat(opt(t("?")) if ts else 1, generics, g("(", "Params", ")"), annotation, alt(g("{", "Stmts", "}"), t(";") if ts else 0))
     b["Members"] = star(alt(t(";"), decorator, cat(t("static"), g("{", "Stmts", "}")), cat(member_words, alt(cat(opt(t("*")), prop_name, method_tail), cat(prop_name, field)))))
-    b["TypeMembers"] = star(alt(t("; ,"), cat(star(t("readonly get set pm")), alt(cat(prop_name, opt(t("pm"))), cat(t("new"))), opt(t("pm")), opt(t("?")), alt(cat(generics, g("(", "Params", ")"), annotation), annotation), t("; ,")), cat(generics, g("(", "Params", ")"), annotation, t("; ,")))) if ts else 0
+    if ts:
+        b["Members"] = a.star(alt(t(";"), decorator, cat(t("static"), g("{", "Stmts", "}")), cat(member_words, g("[", "TypeSoup", "]"), annotation, t(";")), cat(member_words, alt(cat(opt(t("*")), prop_name, method_tail), cat(prop_name, field)))))
     if ts:  # the last member needs no separator
         member = cat(star(t("readonly get set pm")), alt(prop_name, t("new")), opt(t("pm")), opt(t("?")), alt(cat(generics, g("(", "Params", ")"), annotation), annotation))
         mapped = cat(star(t("readonly pm")), g("[", "TypeSoup", "]"), opt(t("pm")), opt(t("?")), annotation)
@@ -264,7 +267,7 @@ def _go() -> Language:
         post = star(alt(cat(t("."), alt(ident, g("(", "Assert", ")"))), g("[", "Index", "]"), g("(", "Args", ")"), body if composite else 0))
         made = cat(alt(g("[", "Len", "]"), cat(t("map"), g("[", "Types", "]"))), star(wrap), base, alt(body, g("(", "Args", ")")))
         primary = alt(t("id num str"), g("(", "Expr", ")"), cat(func_type, result, block), made, cat(t("struct"), g("{", "Fields", "}"), body), cat(t("chan"), type_))
-        operand = cat(star(t("pm ! * & <- ~ binop")), primary, post) if False else cat(star(alt(t("pm ! * & <-"))), primary, post)
+        operand = cat(star(t("pm ! * & <-")), primary, post)
         return cat(operand, star(t("binop pm < * &"), operand))
 
     expr, head = expression(True), expression(False)
@@ -374,7 +377,7 @@ def _rust() -> Language:
     returning = cat(path, g("(", "Types", ")"), t("->"))
     type_ = cat(star(returning), one, star(t("+"), one))
     b["Types"] = opt(sep(cat(opt(alt(ident, t("_")), t(":")), type_), comma))
-    pattern_item = alt(t("id union num str life self Self super crate :: .. ..= ... | & && @ ref mut _ true false - box const".replace(" box", "")), angles, g("(", "Pattern", ")"), g("[", "Pattern", "]"), g("{", "Pattern", "}"), cat(t("!"), groups))
+    pattern_item = alt(t("id union num str life self Self super crate :: .. ..= ... | & && @ ref mut _ true false - const"), angles, g("(", "Pattern", ")"), g("[", "Pattern", "]"), g("{", "Pattern", "}"), cat(t("!"), groups))
     b["Pattern"] = star(alt(pattern_item, t(", : #")))
     pattern = plus(pattern_item)
     pattern_nobar = plus(alt(t("id union num str self Self super crate :: .. & && @ ref mut _ true false -"), angles, g("(", "Pattern", ")"), g("[", "Pattern", "]"), g("{", "Pattern", "}")))
@@ -400,8 +403,7 @@ def _rust() -> Language:
         operand = cat(star(jump), lead, alt(cat(primary, post), jump))
         ranged = t(".. ..=")
         ops = t("binop < > >> * & && | || + - = assign .. ..=")
-        lone = alt(ranged, 0)
-        return alt(cat(opt(ranged), operand, star(ops, operand), opt(ranged)), lone)
+        return alt(cat(opt(ranged), operand, star(ops, operand), opt(ranged)), ranged)
 
     # an expression without struct literals heads if, while, match and for; its own blocks are bodies again
     head = expression(False, cat(t("unsafe"), block))
@@ -482,8 +484,7 @@ def _python() -> Language:
     calls = star(alt(cat(t("."), ident), g("(", "Args", ")"), g("[", "Index", "]")))
     primary = cat(alt(ident, t("num None True False ..."), plus(t("str")), g("(", "Tuple", ")"), g("[", "List", "]"), g("{", "Dict", "}")), calls)
     unary = t("pm ~ not await")
-    ops = alt(t("binop at".replace(" at", "")), t("pm * ** and or in is"), cat(t("is"), t("not")), cat(t("not"), t("in")))
-    arg = cat(alt(ident, cat(t("* **"), ident), t("*"), t("binop")), 1)
+    ops = alt(t("binop"), t("pm * ** and or in is"), cat(t("is"), t("not")), cat(t("not"), t("in")))
     plain_arg = alt(cat(opt(t("* **")), ident), t("*"), cat(t("binop")))
     # lambda parameters have defaults without annotation
     operand0 = cat(star(unary), primary)
@@ -528,7 +529,7 @@ def _python() -> Language:
     for_ = cat(t("for"), target, t("in"), many, suite, opt(t("else"), suite))
     def_ = cat(t("def"), ident, opt(g("[", "TypeParams", "]")), g("(", "Params", ")"), opt(t("->"), expr), suite)
     except_ = cat(t("except"), opt(t("*")), opt(expr, as_), suite)
-    b["Cases"] = plus(cat(t("case"), star(alt(t("id match type num str None True False . , | as * ** : = pm binop if not and or in is == ( ".replace(" |", "").replace(" ==", "").replace(" (", "").replace(" :", "").replace(" =", "")), g("(", "Soup", ")"), g("[", "Soup", "]"), g("{", "Soup", "}"))), suite))
+    b["Cases"] = plus(cat(t("case"), star(alt(t("id match type num str None True False . , as * ** pm binop if not and or in is"), g("(", "Soup", ")"), g("[", "Soup", "]"), g("{", "Soup", "}"))), suite))
     b["Soup"] = star(alt(t(*[n for n in names if n not in ("skip", "bad", "newline", "indent", "dedent", "(", ")", "[", "]", "{", "}")]), g("(", "Soup", ")"), g("[", "Soup", "]"), g("{", "Soup", "}")))
     compound = alt(
         cat(t("if"), named, suite, star(t("elif"), named, suite), opt(t("else"), suite)), cat(t("while"), named, suite, opt(t("else"), suite)),
@@ -556,7 +557,7 @@ def _python() -> Language:
     def layout(found, lang: Language, want: int | None = None):
         """Tokens with NEWLINE, INDENT and DEDENT; an inconsistent dedent is a bad token."""
         out, classes, depth, levels, pending, fresh = [], lang.classes, 0, [0], "", True
-        begun, last, bad = False, 0, ix["bad"]
+        begun, bad = False, ix["bad"]
         for x in found:
             text = x if want is None else x.group(1) or ""
             if not text:
@@ -590,7 +591,6 @@ def _python() -> Language:
                 begun = True
             if want is not None and len(out) > want:
                 return x.start()
-            last = 0
         if want is not None:
             return -1
         if begun and not depth:

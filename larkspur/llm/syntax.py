@@ -41,9 +41,9 @@ def verdict(lang: str, content: str | None, place: bool = True) -> tuple[str, in
     if at == -2:
         return "truncated", None, len(_LINE.findall(content)) + 1
     if not place:
-        return "unexpected", at, None
+        return "unexpected", None, None
     offset = reader.offset(content, at)
-    return "unexpected", at, len(_LINE.findall(content, 0, len(content) if offset < 0 else offset)) + 1
+    return "unexpected", reader.ordinal(content, at), len(_LINE.findall(content, 0, len(content) if offset < 0 else offset)) + 1
 
 
 def syntax_verdicts(files: DataFrame) -> DataFrame:
