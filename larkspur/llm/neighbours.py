@@ -29,9 +29,10 @@ SALT = 64
 
 
 def usable(vectors: DataFrame, dim: int = 32, label: str = "label", embedding: str = "embedding") -> DataFrame:
-    """(label, v): each label once, its vector as doubles."""
+    """(label, v): each label once, its vector as floats if it came so (the shuffles carry them), else as doubles."""
     whole = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    rows = vectors.select(F.col(label).cast("long").alias("label"), F.col(embedding).cast("array<double>").alias("v"))
+    kind = "array<float>" if dict(vectors.dtypes)[embedding] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(label).cast("long").alias("label"), F.col(embedding).cast(kind).alias("v"))
     fine = rows.where("label is not null and v is not null").where((F.size("v") == dim) & whole & F.exists("v", lambda x: x != 0))
     return fine.groupBy("label").agg(F.min("v").alias("v"))
 
@@ -107,11 +108,67 @@ class Forest:
         return out
 
 
-def _unit(batch: pa.RecordBatch, column: int, dim: int) -> np.ndarray:
-    flat = batch.column(column).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
-    scale = np.abs(flat).max(axis=1, keepdims=True)
-    flat = flat / np.where(scale > 0, scale, 1.0)
-    return flat / np.linalg.norm(flat, axis=1, keepdims=True)
+def _plain(column: pa.Array, dim: int) -> np.ndarray:
+    """The vectors of a list column as they are."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    """Unit vectors in double precision."""
+    v = vectors.astype(np.float64)
+    scale = np.abs(v).max(axis=1, keepdims=True, initial=0.0)
+    v /= np.where(scale > 0, scale, 1.0)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def _pack(rows: np.ndarray) -> pa.Array:
+    """Rows of an array as binary values, which the JVM moves without looking into them."""
+    data = np.ascontiguousarray(rows)
+    width = data.dtype.itemsize * int(np.prod(data.shape[1:]))
+    return pa.Array.from_buffers(pa.binary(width), len(data), [None, pa.py_buffer(data.tobytes())]).cast(pa.binary())
+
+
+def _unpack(column: pa.Array, dtype, width: int) -> np.ndarray:
+    flat = np.frombuffer(b"".join(column.to_pylist()), dtype=dtype)
+    return flat.reshape(-1, width) if width else flat
+
+
+HIT = np.dtype([("d", "<f8"), ("o", "<i8")])
+
+
+def _runs(batches: Iterator[pa.RecordBatch], most: int = 0) -> Iterator[pa.RecordBatch]:
+    """Batches regrouped so that rows of one key (column 0, sorted) stay together; with ``most``, several keys at once."""
+    parts: list[pa.RecordBatch] = []
+    held = 0
+
+    def joined():
+        return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
+        if parts and parts[-1].column(0)[-1].as_py() != ids[0] and held >= most:
+            yield joined()
+            parts, held = [], 0
+        if most:  # all but the last key are whole
+            last = cuts[-2]
+            if last and held + last >= most:
+                parts.append(batch.slice(0, last))
+                yield joined()
+                parts, held = [batch.slice(last)], len(ids) - last
+            else:
+                parts.append(batch)
+                held += len(ids)
+            continue
+        for s, e in zip(cuts, cuts[1:]):
+            if parts and parts[-1].column(0)[-1].as_py() != ids[s]:
+                yield joined()
+                parts = []
+            parts.append(batch.slice(s, e - s))
+    if parts:
+        yield joined()
 
 
 def nearest(points: DataFrame, k: int = 5, dim: int = 32, trees: int = 8, leaf: int = 1024, leaves: int = 64, fit: int = 32_768, queries=None) -> DataFrame:
@@ -121,11 +178,12 @@ def nearest(points: DataFrame, k: int = 5, dim: int = 32, trees: int = 8, leaf:
     """
     spark = points.sparkSession
     total = points.count()
-    sample = points.orderBy(F.xxhash64("label")).limit(fit).toArrow() if total > fit else points.toArrow()
-    batch = sample.combine_chunks().to_batches()
-    unit = _unit(batch[0], sample.column_names.index("v"), dim) if batch else np.zeros((0, dim))
+    sample = points.orderBy(F.xxhash64("label")).limit(fit) if total > fit else points
+    table = sample.select("v").toArrow().combine_chunks().to_batches()
+    unit = _unit(_plain(table[0].column(0), dim)) if table else np.zeros((0, dim))
     per_leaf = max(4, int(leaf * len(unit) / max(total, 1)))
     forest = spark.sparkContext.broadcast(Forest(unit, trees, per_leaf))
+    dtype = "<f4" if dict(points.dtypes)["v"] == "array<float>" else "<f8"
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = forest.value
@@ -133,27 +191,25 @@ def nearest(points: DataFrame, k: int = 5, dim: int = 32, trees: int = 8, leaf:
             for start in range(0, whole.num_rows, 2048):
                 b = whole.slice(start, 2048)
                 labels, asks = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_pylist()
-                vectors = _unit(b, 1, dim)
-                margins = f.margins(vectors)
+                vectors = _plain(b.column(1), dim).astype(dtype)
+                margins = f.margins(_unit(vectors))
                 homes = f.homes(margins)
-                rows, leaf_ids, holds, wants = [], [], [], []
+                rows, leaf_ids, roles = [], [], []
                 for i in range(len(labels)):
                     home = set(homes[i].tolist())
                     want = set(f.search(margins[i].tolist(), leaves)) if asks[i] else set()
                     for x in home | want:
                         rows.append(i)
                         leaf_ids.append(x)
-                        holds.append(x in home)
-                        wants.append(x in want)
-                packed = pa.FixedSizeListArray.from_arrays(pa.array(vectors[rows].ravel()), dim).cast(pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([pa.array(leaf_ids, pa.int64()), pa.array(labels[rows], pa.int64()), packed, pa.array(holds), pa.array(wants)], names=["leaf", "label", "v", "holds", "wants"])
+                        roles.append((x in home) + 2 * (x in want))
+                yield pa.RecordBatch.from_arrays([pa.array(leaf_ids, pa.int64()), pa.array(labels[rows], pa.int64()), _pack(vectors[rows]), pa.array(roles, pa.int32())], names=["leaf", "label", "v", "role"])
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(parts: list[pa.RecordBatch]):
-            table = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-            labels = table.column(1).to_numpy(zero_copy_only=False)
-            vectors = table.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            holds, wants = (table.column(i).to_numpy(zero_copy_only=False).astype(bool) for i in (3, 4))
+        for run in _runs(batches):
+            labels = run.column(1).to_numpy(zero_copy_only=False)
+            vectors = _unit(_unpack(run.column(2), dtype, dim))
+            role = run.column(3).to_numpy(zero_copy_only=False)
+            holds, wants = (role & 1) > 0, (role & 2) > 0
             order = np.argsort(labels[holds], kind="stable")
             members, base = labels[holds][order], vectors[holds][order]
             asking, asked = labels[wants], vectors[wants]
@@ -166,35 +222,33 @@ def nearest(points: DataFrame, k: int = 5, dim: int = 32, trees: int = 8, leaf:
                     continue
                 kth = np.partition(d, top - 1, axis=1)[:, top - 1:top] if top < len(members) else np.full((len(ids), 1), np.inf)
                 r, c = np.nonzero((d <= kth) & np.isfinite(d))
-                # members are in label order, so a stable sort by distance breaks ties by label
-                o = np.lexsort((c, d[r, c], r))
+                o = np.lexsort((c, d[r, c], r))  # members are in label order: ties go to the smaller label
                 r, c = r[o], c[o]
-                rank = np.arange(len(r)) - np.searchsorted(r, r, side="left")
-                keep = rank < k
+                keep = np.arange(len(r)) - np.searchsorted(r, r, side="left") < k
                 r, c = r[keep], c[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[r], pa.int64()), pa.array(d[r, c]), pa.array(members[c], pa.int64())], names=["label", "distance", "other"])
-
-        leaf_now, parts = None, []
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
-            for s, e in zip(cuts, cuts[1:]):
-                if e == s:
-                    continue
-                if ids[s] != leaf_now and parts:
-                    yield from done(parts)
-                    parts = []
-                leaf_now = ids[s]
-                parts.append(batch.slice(s, e - s))
-        if parts:
-            yield from done(parts)
+                best = np.zeros((len(ids), k), dtype=HIT)
+                best["d"] = np.inf
+                best[r, np.arange(len(r)) - np.searchsorted(r, r, side="left")] = np.rec.fromarrays([d[r, c], members[c]], dtype=HIT)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _pack(best)], names=["label", "best"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _runs(batches, 16_384):
+            hits = _unpack(run.column(1), HIT, 0)
+            labels = np.repeat(run.column(0).to_numpy(zero_copy_only=False), len(hits) // run.num_rows)
+            real = np.isfinite(hits["d"])
+            hits, labels = hits[real], labels[real]
+            o = np.lexsort((hits["o"], hits["d"], labels))
+            hits, labels = hits[o], labels[o]
+            fresh = np.ones(len(labels), bool)  # a pair met in several leaves has one distance
+            fresh[1:] = (labels[1:] != labels[:-1]) | (hits["o"][1:] != hits["o"][:-1]) | (hits["d"][1:] != hits["d"][:-1])
+            hits, labels = hits[fresh], labels[fresh]
+            keep = np.arange(len(labels)) - np.searchsorted(labels, labels, side="left") < k
+            yield pa.RecordBatch.from_arrays([pa.array(labels[keep], pa.int64()), pa.array(hits["o"][keep], pa.int64()), pa.array(hits["d"][keep])], names=["label", "other", "distance"])
 
     asks = points.select("label", "v", (F.lit(True) if queries is None else queries).alias("asks"))
-    placed = asks.mapInArrow(assign, "leaf bigint, label bigint, v array<double>, holds boolean, wants boolean")
-    ranked = placed.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(rerank, "label bigint, distance double, other bigint")
-    # a pair met in several leaves has one distance; at most leaves * k rows a label
-    best = F.slice(F.array_sort(F.array_distinct(F.collect_list(F.struct("distance", "other")))), 1, k)
-    return ranked.groupBy("label").agg(best.alias("b")).select("label", F.inline("b")).select("label", "other", "distance")
+    placed = asks.mapInArrow(assign, "leaf bigint, label bigint, v binary, role int")
+    ranked = placed.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(rerank, "label bigint, best binary")
+    return ranked.repartition("label").sortWithinPartitions("label").mapInArrow(merge, "label bigint, other bigint, distance double")
 
 
 def classes(points: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -237,7 +291,8 @@ def exact(vectors: DataFrame, k: int = 5, dim: int = 32, every: int = 50) -> Dat
     The query block is broadcast when its counted size allows, else both sides are dealt into blocks.
     """
     points = usable(vectors, dim)
-    unit = F.transform("v", lambda x: x / F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, y: a + y * y)))
+    double = F.col("v").cast("array<double>")
+    unit = F.transform(double, lambda x: x / F.sqrt(F.aggregate(double, F.lit(0.0), lambda a, y: a + y * y)))
     points = points.select("label", unit.alias("u"))
     asks = points.where(F.col("label") % every == 0).select(F.col("label").alias("q"), F.col("u").alias("qu"))
     table = asks.limit(200_001).toArrow()
