@@ -221,11 +221,11 @@ def _javascript(ts: bool) -> Language:
     hole = r"\$\{(?:[^{}`\"']|" + _STRING + "|" + _STRING1 + r"|`[^`]*`|\{(?:[^{}]|\{[^{}]*\})*\})*\}"
     regex = r"/(?![*/])(?:[^/\\\[\r\n]|\\[^\r\n]|\[(?:[^\]\\\r\n]|\\[^\r\n])*\])+/[a-z]*"
     pattern = (
-        r"(?:[ \t\f\v ﻿]+|//[^\r\n  ]*|/\*[^*\r\n]*\*/|\A﻿?#![^\r\n]*)+|/\*[^*]*\*+(?:[^/*][^*]*\*+)*/|"
+        r"(?:[ \t\f\v ﻿]+|//[^\r\n  ]*|/\*[^*\r\n]*\*/|\A﻿?#![^\r\n]*)+|/\*(?:[^*]++|\*(?!/))*+\*/|"
         r"([A-Za-z_$][\w$]*|[\r\n]\s*|[()\[\]{};,]|" + _STRING + "|" + _STRING1 + "|" + _NUM + r"n?"
         r"|`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|" + hole + r")*`"
         r"|(?<=[(,=:\[!&|?{};+\n])" + regex + r"|(?<=[(,=:\[!&|?{};+] )" + regex + r"|(?<=return )" + regex +
-        r"|=>|\.\.\.|\?\.(?!\d)|\?\?=?|&&=?|\|\|=?|={1,3}|!==?|\*\*=?|<<=?|>>>?=?|[<>]=|\+\+|--|[-+*/%&|^]=|/\*|#[A-Za-z_$][\w$]*|[^\W\d][\w$]*|\S)"
+        r"|=>|\.\.\.|\?\.(?!\d)|\?\?=?|&&=?|\|\|=?|={1,3}|!==?|\*\*=?|<<=?|>>>?=?|[<>]=|\+\+|--|[-+*/%&|^]=|/\*[\s\S]*+|#[A-Za-z_$][\w$]*|[^\W\d][\w$]*|\S)"
     )
     return Language("typescript" if ts else "javascript", pattern, m, fixed, classify)
 
@@ -341,9 +341,9 @@ def _go() -> Language:
         return out if want is None else -1
 
     pattern = (
-        r"(?:[ \t\f\v﻿]+|/\*[^*\r\n]*\*/)+|//[^\r\n]*|/\*[^*]*\*+(?:[^/*][^*]*\*+)*/|"
+        r"(?:[ \t\f\v﻿]+|/\*[^*\r\n]*\*/)+|//[^\r\n]*|/\*(?:[^*]++|\*(?!/))*+\*/|"
         r"([^\W\d]\w*|[\r\n]\s*|[()\[\]{};,]|" + _STRING + r"|`[^`]*`|'(?:[^'\\\r\n]|\\[^\r\n]+?)'|" + _NUM + r"i?"
-        r"|\.\.\.|:=|<-|<<=?|>>=?|&\^=?|&&|\|\||\+\+|--|[-+*/%&|^=!<>]=|/\*|\S)"
+        r"|\.\.\.|:=|<-|<<=?|>>=?|&\^=?|&&|\|\||\+\+|--|[-+*/%&|^=!<>]=|/\*[\s\S]*+|\S)"
     )
     return Language("go", pattern, m, fixed, classify, layout)
 
@@ -447,7 +447,10 @@ def _rust() -> Language:
 
     def classify(x: str) -> int:
         c = x[0]
-        if c in "bcr" and len(x) > 1 and x[-1] in "\"'#" or c in "\"'" and len(x) > 2 and x[-1] == c or x == '""':
+        raw = re.match(r"[bc]?r(#*)\"", x)
+        if raw:
+            return ix["str"] if len(x) > raw.end() and x.endswith('"' + raw[1]) else ix["bad"]
+        if c in "bc" and len(x) > 1 and x[-1] in "\"'#" or c in "\"'" and len(x) > 2 and x[-1] == c or x == '""':
             return ix["str"]
         if c == "'" and len(x) > 1:
             return ix["life"]
@@ -456,10 +459,10 @@ def _rust() -> Language:
         return ix["num"] if c.isdigit() else ix["bad"]
 
     pattern_ = (
-        r"(?:\s+|//[^\r\n]*|\A﻿?#!(?!\[)[^\r\n]*)+|/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*]|\*(?!/))*\*/)*\*/|"
-        r"(b?'(?:[^'\\\r\n]|\\(?:u\{[^}]*\}|x..|.))'|[bc]?\"(?:[^\"\\]|\\[\s\S])*\"|[bc]?r(#*)\"[\s\S]*?\"\2(?!#)|r#[^\W\d]\w*|'[^\W\d]\w*|[^\W\d]\w*|[()\[\]{};,]"
+        r"(?:\s+|//[^\r\n]*|\A﻿?#!(?!\[)[^\r\n]*)+|/\*(?:[^*/]++|\*(?!/)|/(?!\*)|/\*(?:[^*]++|\*(?!/))*+\*/)*+\*/|"
+        r"(b?'(?:[^'\\\r\n]|\\(?:u\{[^}]*\}|x..|.))'|[bc]?\"(?:[^\"\\]|\\[\s\S])*\"|[bc]?r(#*)\"[\s\S]*?\"\2(?!#)|[bc]?r#*\"[\s\S]*+|r#[^\W\d]\w*|'[^\W\d]\w*|[^\W\d]\w*|[()\[\]{};,]"
         r"|\d[\d_]*\.(?![.\w])|(?:0[xob][\da-fA-F_]+|\d[\d_]*(?:\.\d[\d_]*)?(?:[eE][+-]?[\d_]+)?)\w*"
-        r"|\.\.[.=]?|::|=>|->|<<=?|>>=|>>|&&|\|\||[-+*/%&|^=!<>]=|/\*|\S)"
+        r"|\.\.[.=]?|::|=>|->|<<=?|>>=|>>|&&|\|\||[-+*/%&|^=!<>]=|/\*[\s\S]*+|\S)"
     )
     lang = Language("rust", pattern_, m, fixed, classify)
     find = lang.lex.findall

@@ -46,7 +46,7 @@ Z = 4.0
 _TOKEN = re.compile(
     r"(?P<U>(?:https?://|ftp://|www\.)[^\s<>\"')\]]+)|(?P<A></?[a-zA-Z][^<>]*>)|(?P<H>\#[^\W\d_][\w-]*|\#\d+[^\W\d_][\w-]*)"
     r"|(?P<T>\d{4}-\d\d-\d\d(?:[T ]\d\d:\d\d(?::\d\d)?\S*)?|\b\d\d:\d\d:\d\d\S*)|(?P<V>[\^~v=]*\d+(?:\.\d+)+(?:-\w+)?)"
-    r"|(?P<I>`[^`\n]*`|[\w.-]*/[\w./-]+|\w+(?:::\w+)+|[^\W\d]\w*\(\)|[^\W\d_]+_\w+|[a-z]+[A-Z]\w*|[A-Z][a-z]+(?:[A-Z][a-z]+)+\w*|\w+\.(?:ts|js|py|go|rs|json|md|ya?ml|toml|txt|java|c|h)\b|\b[0-9a-f]{7,40}\b)"
+    r"|(?P<I>`[^`\n]*`|(?<![\w.-])[\w.-]*+/[\w./-]+|\w+(?:::\w+)+|[^\W\d]\w*\(\)|[^\W\d_]+_\w+|[a-z]+[A-Z]\w*|[A-Z][a-z]+(?:[A-Z][a-z]+)+\w*|\w+\.(?:ts|js|py|go|rs|json|md|ya?ml|toml|txt|java|c|h)\b|\b[0-9a-f]{7,40}\b)"
     r"|(?P<N>\d[\d,]*%?)|(?P<W>[^\W\d_]+(?:['’][^\W\d_]+)*(?:-[^\W\d_]+)*\d*)|(?P<P>[^\w\s])|(?P<X>\w+)"
 )
 _HREF = re.compile(r"(?:https?://|ftp://|www\.)[^\s<>\"')\]]+")
