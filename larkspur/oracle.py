@@ -119,4 +119,27 @@ SQL: dict[str, str] = {
         SELECT 'intersect', k FROM (SELECT s_nationkey AS k FROM supplier INTERSECT SELECT c_nationkey FROM customer)""",
     "file_page": f"SELECT file_id, line_no, line FROM {_CODE_LINES} WHERE file_id = 1 AND line_no BETWEEN 3 AND 12",
     "glob_files": "SELECT file_id, file FROM source_files WHERE regexp_matches(file, '^src/(?:[^/]+/)*[^/]*\\.(?:ts|py)$')",
+    "grep_context": f"""WITH l AS (SELECT file_id, line_no, line FROM {_CODE_LINES}), h AS (SELECT file_id, line_no FROM l WHERE regexp_matches(line, 'except|catch')),
+        w AS (SELECT DISTINCT file_id, line_no + o AS line_no FROM h, (SELECT unnest([-2, -1, 0, 1, 2]) AS o))
+        SELECT l.* FROM l JOIN w USING (file_id, line_no)""",
+    "nearest_hit": f"""WITH {_OUT}, l AS (SELECT file_id, line_no, line FROM {_CODE_LINES})
+        SELECT symbol_id, line_no FROM o JOIN l ON o.file_id = l.file_id AND line_no BETWEEN start_line - 10 AND start_line + 10 AND contains(line, name)
+        QUALIFY row_number() OVER (PARTITION BY symbol_id ORDER BY abs(line_no - start_line), line_no - start_line) = 1""",
+    "last_events": "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 20",
+    "ignore_filter": """SELECT file_id FROM source_files WHERE NOT CASE WHEN regexp_matches(file, '(^|/)node_modules(/|$)') THEN true WHEN regexp_matches(file, '^lib/([^/]+/)*[^/]*\\.ts(/|$)') THEN false
+        WHEN regexp_matches(file, '^lib(/|$)') THEN true WHEN regexp_matches(file, '(^|/)[^/]*\\.min\\.js(/|$)') THEN true WHEN regexp_matches(file, '(^|/)dist/') THEN true ELSE false END""",
+    "language_map": f"SELECT file_id, {_LANGUAGE} AS language, string_split(file, '/')[-1] AS base, {_DIR} AS directory, lower(regexp_extract(file, '\\.([^./]+)$', 1)) AS ext FROM source_files",
+    "class_outlines": """WITH o AS (SELECT symbol_id, any_value(name) AS name, any_value(kind) AS kind, any_value(children) AS children FROM outline_symbols GROUP BY symbol_id),
+        x AS (SELECT symbol_id, name, unnest(children) AS ch FROM o WHERE kind = 'class') SELECT symbol_id, concat_ws('.', name, ch.name) AS member, ch.start_line AS start_line FROM x""",
+    "member_dependencies": """WITH o AS (SELECT symbol_id, any_value(snippet) AS code, any_value(children) AS children, any_value(kind) AS kind FROM outline_symbols GROUP BY symbol_id HAVING any_value(kind) = 'class'),
+        r AS (SELECT DISTINCT symbol_id, unnest(regexp_extract_all(code, '\\b(?:this|self)\\.([A-Za-z_$][\\w$]*)', 1)) AS member FROM o),
+        m AS (SELECT symbol_id, c.name AS name, any_value(c.kind) AS kind FROM (SELECT symbol_id, unnest(children) AS c FROM o) GROUP BY symbol_id, c.name)
+        SELECT r.symbol_id AS class, CASE WHEN m.name IS NULL THEN r.member || ' (unresolved)' ELSE r.member END AS member, coalesce(m.kind, 'property') AS kind FROM r LEFT JOIN m ON r.symbol_id = m.symbol_id AND r.member = m.name""",
+    "shorten_texts": "SELECT doc_id, left(text, 40) AS head, right(text, 40) AS tail FROM documents WHERE text IS NOT NULL",
+    "log_summary": "SELECT event_id, strftime(ts, '%Y-%m-%d') AS date, CASE WHEN length(props) > 200 THEN '[' || length(props) || ' chars]' ELSE props END AS input, CASE WHEN length(props) * 30 > 200 THEN '[' || length(props) * 30 || ' chars]' ELSE repeat(props, 30) END AS output FROM events",
+    "paged": "SELECT p_partkey, p_name FROM part ORDER BY p_name, p_partkey LIMIT 30 OFFSET 15",
+    "maintained": "SELECT file_id, CASE WHEN file_id % 4 = 0 THEN coalesce(lines, 0) + 1 ELSE lines END AS lines FROM (SELECT file_id, any_value(lines) AS lines FROM source_files GROUP BY file_id) WHERE file_id % 9 <> 0",
+    "directory_tree": """WITH RECURSIVE f AS (SELECT DISTINCT file FROM source_files), p AS (SELECT file AS path, false AS is_dir FROM f UNION SELECT regexp_extract(path, '^(.*)/[^/]*$', 1), true FROM p WHERE contains(path, '/')),
+        n AS (SELECT CASE WHEN contains(path, '/') THEN regexp_extract(path, '^(.*)/[^/]*$', 1) ELSE '' END AS parent, count(*) AS c FROM p GROUP BY 1)
+        SELECT path, CASE WHEN contains(path, '/') THEN regexp_extract(path, '^(.*)/[^/]*$', 1) ELSE '' END AS parent, is_dir, coalesce(c, 0) AS children FROM p LEFT JOIN n ON n.parent = p.path WHERE len(string_split(path, '/')) <= 2""",
 }

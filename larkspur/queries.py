@@ -381,6 +381,110 @@ def glob_files(s, d):
     return table(s, d, "source_files").where(F.col("file").rlike(glob_regex("src/**/*.{ts,py}"))).select("file_id", "file")
 
 
+def grep_context(s, d):
+    """Lines with ``except`` or ``catch`` and two lines around each."""
+    rows = table(s, d, "source_files")
+    every = search.numbered_lines(rows.where(F.col("content").rlike("except|catch")), "content", ["file_id"])
+    hits = search.grep(rows, "content", "except|catch", ["file_id"])
+    return search.with_context(every, hits, ["file_id"], 2).select("file_id", "line_no", "line")
+
+
+def nearest_hit(s, d):
+    """For each outline symbol the line nearest to its start, at most ten away, that holds its name."""
+    o = table(s, d, "outline_symbols").select("symbol_id", "file_id", "name", "start_line").dropna().dropDuplicates(["symbol_id"])
+    lines = search.numbered_lines(table(s, d, "source_files").where("content is not null"), "content", ["file_id"])
+    near = o.withColumn("line_no", F.explode(F.sequence(F.col("start_line") - 10, F.col("start_line") + 10)))
+    met = near.join(lines, ["file_id", "line_no"]).where(F.contains("line", F.col("name")))
+    return timeline.nearest(met, ["symbol_id"], F.col("line_no") - F.col("start_line"), ["line_no"]).select("symbol_id", "line_no")
+
+
+def last_events(s, d):
+    """Each user's last 20 events."""
+    from pyspark.sql import Window
+
+    e = _events(s, d)
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("us").desc(), F.col("event_id").desc()))
+    return e.withColumn("n", n).where("n <= 20").select("user_id", "event_id")
+
+
+def ignore_filter(s, d):
+    """Files that ordered ignore rules leave: the last match decides, ! takes back."""
+    from .sources.files import ignore_predicate
+
+    rules = ["dist/", "*.min.js", "/lib", "!lib/**/*.ts", "node_modules"]
+    return table(s, d, "source_files").where(~ignore_predicate(F.col("file"), rules)).select("file_id")
+
+
+def language_map(s, d):
+    return table(s, d, "source_files").select("file_id", paths.language(F.col("file")).alias("language"), paths.base_name(F.col("file")).alias("base"), paths.directory(F.col("file")).alias("directory"), paths.extension(F.col("file")).alias("ext"))
+
+
+def class_outlines(s, d):
+    """Members listed in the outline's children, with their class."""
+    o = table(s, d, "outline_symbols").dropDuplicates(["symbol_id"])
+    return o.where("kind = 'class'").select("symbol_id", "name", F.explode("children").alias("c")).select("symbol_id", F.concat_ws(".", "name", "c.name").alias("member"), F.col("c.start_line").alias("start_line"))
+
+
+def member_dependencies(s, d):
+    """Members that each class's snippet refers to through this or self, unresolved ones as properties."""
+    o = table(s, d, "outline_symbols").where("kind = 'class'").dropDuplicates(["symbol_id"]).select(F.col("symbol_id").alias("class"), F.col("snippet").alias("code"), "children")
+    members = o.select("class", F.explode("children").alias("c")).select("class", F.col("c.name").alias("name"), F.col("c.kind").alias("kind"))
+    return index.dependencies(o.select("class", "code"), members)
+
+
+def shorten_texts(s, d):
+    t = table(s, d, "documents").where("text is not null")
+    return t.select("doc_id", text.shorten(F.col("text"), 10).alias("head"), text.shorten(F.col("text"), 10, tail=True).alias("tail"))
+
+
+def log_summary(s, d):
+    """Event properties as log fields: long ones by size, with the day they belong to."""
+    from .sources.logs import call_log
+
+    e = table(s, d, "events").select("event_id", "ts", F.col("props").alias("input"), F.repeat("props", 30).alias("output"))
+    return call_log(e).select("event_id", "date", "input", "output")
+
+
+def paged(s, d):
+    return search.page(table(s, d, "part").select("p_partkey", "p_name"), [F.col("p_name"), F.col("p_partkey")], 15, 30)
+
+
+def maintained(s, d):
+    """The index after a snapshot: rows of removed and changed files replaced."""
+    old = table(s, d, "source_files").select("file_id", "lines").dropDuplicates(["file_id"])
+    new = old.where("file_id % 9 <> 0").withColumn("lines", F.when(F.col("file_id") % 4 == 0, F.coalesce("lines", F.lit(0)) + 1).otherwise(F.col("lines")))
+    return index.maintain(old, index.snapshot_diff(old, new, "file_id", "lines"), new, "file_id")
+
+
+def directory_tree(s, d):
+    """Directories and files down to two levels, with the count of entries in each."""
+    from .sources.files import tree
+
+    listed = table(s, d, "source_files").select(F.col("file").alias("path")).distinct()
+    return tree(listed, 2).select("path", "parent", "is_dir", "children")
+
+
+def edited_files(s, d):
+    """Each file's second line replaced through the edit cascade, found by its trimmed text."""
+    f = table(s, d, "source_files").select("file_id", F.regexp_replace("content", "\r", "").alias("content")).where("length(content) > 20")
+    line = F.try_element_at(F.split("content", "\n"), F.lit(2))
+    edits = F.array(F.struct(F.trim(line).alias("old_text"), F.lit("EDITED").alias("new_text"), F.lit(2).alias("line_hint")))
+    return fuzzy.apply_edits(f.withColumn("edits", edits)).select("file_id", F.element_at("strategies", 1).alias("strategy"), F.md5("result").alias("result"))
+
+
+def text_embedding(s, d):
+    """Deterministic trigram embeddings of part names."""
+    from .functions.vectors import trigram_embedding
+
+    e = trigram_embedding(F.col("p_name"), 16)
+    return table(s, d, "part").select("p_partkey", F.array_join(F.transform(e, lambda x: F.round(x, 4).cast("string")), ",").alias("embedding"))
+
+
+def p1_cancelled(s, d):
+    t = _tasks(s, d)
+    return plantree.cancel(t, t.where("path = '1'").select("plan_id", "path")).select("plan_id", "path", "status")
+
+
 def symbols_extract(s, d):
     files = table(s, d, "source_files").select(F.col("file_id").cast("string").alias("id"), "file", "content")
     return extract.symbols(files)
@@ -400,7 +504,8 @@ def queries() -> dict:
         ref_left_join, outline_tree, enclosing_symbol, anti_embed, live_vectors, typeref_edges, in_degree, file_rank, edge_count, graph_nodes, snapshot_diff, upsert_latest, newest_files, index_summary,
         lang_stats, dir_summary, symbol_lookup, resolver, serialize_text, token_budget_prefix, top_files, siblings, did_you_mean, diag_query, diag_summary, diag_by_group, diag_filtered_after_limit,
         run_errors, dedup_thinning, debounce_session, tree_rollup, snippet3, sliding_block_match, fuzzy_levenshtein, json_props, text_scalars, set_operations, file_page, glob_files,
-        symbols_extract, imports_extract, type_refs_extract, p1_entities, p1_progress, p1_promoted, p1_current, p1_pending_checkpoints, p1_context,
+        grep_context, nearest_hit, last_events, ignore_filter, language_map, class_outlines, member_dependencies, shorten_texts, log_summary, paged, maintained, directory_tree,
+        edited_files, text_embedding, p1_cancelled, symbols_extract, imports_extract, type_refs_extract, p1_entities, p1_progress, p1_promoted, p1_current, p1_pending_checkpoints, p1_context,
     ]
     return {"p1_found": lambda s, d: shred.plan_nodes(table(s, d, "plan_records"))} | {f.__name__: f for f in named}
 
