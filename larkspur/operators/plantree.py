@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.tables import cut
-
 TERMINAL = ("completed", "cancelled")
 ENDED = ("completed", "cancelled", "failed")
 
@@ -46,18 +44,23 @@ def pending_checkpoints(tasks: DataFrame, saved: DataFrame) -> DataFrame:
 def promote(tasks: DataFrame) -> DataFrame:
     """Statuses from the leaves up: a task whose children have all ended is failed if one failed, else completed.
 
-    One aggregation and join for each level; the depth of trees is small and does not grow with the data.
+    Without a loop over levels: an open task ends when no open leaf is reached from it through open tasks, and
+    fails when a failed task is. So each ended task and each leaf tells all tasks above it up to its nearest ended
+    one, and one aggregation a task decides.
     """
-    rows = tasks.withColumn("_depth", F.size(F.split("path", r"\.")))
-    deepest = rows.agg(F.max("_depth")).first()[0] or 1
-    for depth in range(deepest, 1, -1):
-        kids = rows.where(F.col("_depth") == depth).groupBy("plan_id", F.col("parent").alias("path")).agg(F.bool_and(F.coalesce(F.col("status").isin(*ENDED), F.lit(False))).alias("_all"), F.bool_or(F.coalesce(F.col("status") == "failed", F.lit(False))).alias("_bad"))
-        rows = rows.join(kids, ["plan_id", "path"], "left")
-        open_ = F.col("_all") & ~F.coalesce(F.col("status").isin(*ENDED), F.lit(False))
-        rows = rows.withColumn("status", F.when(open_, F.when(F.col("_bad"), "failed").otherwise("completed")).otherwise(F.col("status"))).drop("_all", "_bad")
-        if depth % 4 == 0:
-            rows = cut(rows)
-    return rows.drop("_depth")
+    depth = lambda c: F.size(F.split(c, r"\."))
+    ended = F.coalesce(F.col("status").isin(*ENDED), F.lit(False))
+    state = tasks.select("plan_id", F.col("path").alias("_a"), ended.alias("_ended"))
+    closure = tasks.select("plan_id", "path", "status", F.explode(above(F.col("path"))).alias("_a")).join(state, ["plan_id", "_a"])
+    barrier = F.coalesce(F.max(F.when(F.col("_ended") & (F.col("_a") != F.col("path")), depth("_a"))), F.lit(0))
+    known = closure.groupBy("plan_id", "path").agg(barrier.alias("_d"), F.max("status").alias("status"))
+    parents = tasks.where("parent <> ''").select("plan_id", F.col("parent").alias("path")).distinct()
+    leaves = known.where(~ended).join(parents, ["plan_id", "path"], "left_anti")
+    told = known.where(ended).unionByName(leaves).select("plan_id", (~ended).alias("_open"), F.coalesce(F.col("status") == "failed", F.lit(False)).alias("_bad"), F.explode(F.filter(above(F.col("path")), lambda a: (depth(a) > F.col("_d")) & (a != F.col("path")))).alias("path"))
+    decided = told.groupBy("plan_id", "path").agg(F.bool_or("_open").alias("_open"), F.bool_or("_bad").alias("_bad"))
+    out = tasks.join(decided, ["plan_id", "path"], "left")
+    settles = ~ended & (F.col("_open") == F.lit(False))
+    return out.withColumn("status", F.when(settles, F.when(F.col("_bad"), "failed").otherwise("completed")).otherwise(F.col("status"))).drop("_open", "_bad")
 
 
 def completed_path(tasks: DataFrame) -> DataFrame:
