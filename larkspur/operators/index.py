@@ -123,10 +123,17 @@ def tiered_top(files: DataFrame, total: int) -> DataFrame:
     return files.orderBy(F.col("rank").desc(), "file").limit(n)
 
 
-def within_budget(rows: DataFrame, group: list[str], order: list[Column], tokens: Column, budget: int) -> DataFrame:
-    """The prefix of each group's order whose running token count stays within the budget."""
-    running = F.sum(tokens).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("running", running).where(F.col("running") <= budget)
+def within_budget(rows: DataFrame, group: list[str], order: str, tokens: Column, budget: int, block: int = 65_536) -> DataFrame:
+    """The prefix of each group, by a unique numeric column, whose running token count stays within the budget.
+
+    Sums of blocks tell where each block starts; blocks that start beyond the budget are dropped before any row of
+    them is sorted, and no group is ordered as a whole.
+    """
+    cut_ = rows.withColumn("_b", F.floor(F.col(order) / block)).withColumn("_t", tokens)
+    before = F.sum("_s").over(Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    starts = cut_.groupBy(*group, "_b").agg(F.sum("_t").alias("_s")).withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") <= budget).drop("_s")
+    inside = F.sum("_t").over(Window.partitionBy(*group, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return cut_.join(starts, [*group, "_b"]).withColumn("running", F.col("_before") + inside).where(F.col("running") <= budget).drop("_b", "_t", "_before")
 
 
 def class_outline(symbols: DataFrame, class_name: str) -> DataFrame:

@@ -23,7 +23,7 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = context.getConf().get("spark.checkpoint.dir")
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "larkspur-checkpoints"))
     return df.checkpoint(eager)
 

@@ -231,7 +231,7 @@ def serialize_text(s, d):
 
 def token_budget_prefix(s, d):
     docs = table(s, d, "documents").select("doc_id", F.coalesce(source_of("source"), F.lit("")).alias("source"), "n_chars").where("n_chars is not null")
-    return index.within_budget(docs, ["source"], [F.col("doc_id")], text.token_estimate(F.col("n_chars")), 20_000).select("doc_id", "running")
+    return index.within_budget(docs, ["source"], "doc_id", text.token_estimate(F.col("n_chars")), 20_000).select("doc_id", "running")
 
 
 def source_of(column: str) -> F.Column:
