@@ -50,7 +50,7 @@ _VENDORED = re.compile(
 _BANNER = re.compile(r"/\*!\s*[\w@/.-]+ v\d+(?:\.\d+)+")
 _DENIED = re.compile(r"\b(?:not|never|isn't|is no|no longer|formerly|instead of|unlike) (?:auto-?|automatically |machine-?)?generated|by hand\b(?<!modify by hand)(?<!edit by hand)", re.IGNORECASE)
 _COMMENT_LINE = re.compile(r"\s*(?://|#(?!\[|!\[)|/?\*|<!--|--\s)")
-_TOKEN = re.compile(r"(?P<s>\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*')|(?P<n>\b\d[\w.]*)|(?P<i>[A-Za-z_$][\w$]*)|(?P<p>[^\w\s])")
+_TOKEN = re.compile(r"[A-Za-z_$][\w$]*+|[^\w\s\"']|\b\d[\w.]*+|\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|[\"']")
 _DIGITS = re.compile(r"\d+")
 #: names that tools give to their output
 MARKED = r"(?i)(?:\.(?:min|bundle|gen|generated|pb)\.|_(?:pb2?|gen|generated)\.)[a-z]+$|(?:^|/)_*(?:generated|autogen)_*/"
@@ -99,33 +99,34 @@ def measure(content: str | None, symbols: int | None, lines_known: int | None) -
     body = "\n".join(full)
     raw = body.encode("utf-8", "surrogatepass")
     size = max(1, len(body))
+    joined = "\n".join(code)
     counts: Counter = Counter()
-    names: list[str] = []
+    names: dict[str, int] = {}
     literals = tokens = signs = held = 0
-    for s, n, i, p in _TOKEN.findall("\n".join(code)):
-        if i:
-            counts[i] += 1
-            names.append(i)
-            tokens += 1
-        elif p:
-            counts[p] += 1
-            signs += 1
+    for t, n in Counter(_TOKEN.findall(joined)).items():  # each distinct token once
+        c = t[0]
+        if c.isalpha() or c in "_$":
+            counts[t] += n
+            names[t] = n
+            tokens += n
+        elif c.isdigit() or c in "\"'" and len(t) > 1:
+            counts["0" if c.isdigit() else '"'] += n
+            held += n * len(t)
+            literals += n
+            tokens += n
         else:
-            counts["0" if n else '"'] += 1
-            held += len(s) + len(n)
-            literals += 1
-            tokens += 1
+            counts[t] += n
+            signs += n
     total = max(1, tokens + signs)
     entropy = -sum(c / total * math.log2(c / total) for c in counts.values())
-    known = max(1, len(names))
+    known = max(1, sum(names.values()))
     features = [
-        len(zlib.compress(raw, 1)) / max(1, len(raw)), entropy, sum(map(len, names)) / known, sum(len(x) <= 2 for x in names) / known,
-        sum(x[-1].isdigit() for x in names) / known, 1.0 - sum(map(len, code)) / size, size / max(1, len(full)), float(max(map(len, full), default=0)),
-        1.0 - sum(not c.isspace() for c in text) / len(text) if len(text) < 200_000 else 0.0, len({_DIGITS.sub("0", x) for x in code}) / max(1, len(code)),
+        len(zlib.compress(raw, 1)) / max(1, len(raw)), entropy, sum(n * len(x) for x, n in names.items()) / known, sum(n for x, n in names.items() if len(x) <= 2) / known,
+        sum(n for x, n in names.items() if x[-1].isdigit()) / known, 1.0 - sum(map(len, code)) / size, size / max(1, len(full)), float(max(map(len, full), default=0)),
+        1.0 - sum(map(len, text.split())) / len(text), len(set(_DIGITS.sub("0", joined).split("\n"))) / len(code) if code else 0.0,
         literals / max(1, tokens), float(symbols or 0) / max(1, len(full)),
     ]
-    solid = sum(not c.isspace() for x in code for c in x)
-    data = (literals >= 8 and literals >= 0.85 * tokens) or (held >= 200 and held >= 0.7 * solid and len(names) <= 8)
+    data = (literals >= 8 and literals >= 0.85 * tokens) or (held >= 200 and known <= 8 and held >= 0.7 * sum(len(y) for x in code for y in x.split()))
     long = [x for x in code if len(x) > 8 and not x.startswith(("import ", "from ", "use ", "package "))]
     digest = xxhash.xxh3_64_intdigest
     runs = {digest("\n".join(long[k:k + RUN]).encode("utf-8", "surrogatepass")) - (1 << 63) for k in range(len(long) - RUN + 1)}
