@@ -249,10 +249,9 @@ def plan_entities(adjacent: DataFrame) -> DataFrame:
     Object nodes meet their scalar children on the key (rec_id, node): a scalar that is no entity itself
     carries its parent's key, so one grouping is both the outer join and the pivot.
     """
-    # no repeated groups here: their matching is recursive and nesting has no bound
-    labels = F.regexp_replace("node", r"\[\d+\]", "")
-    labels = F.when(~labels.contains("context.subtasks"), F.replace(labels, F.lit(".subtasks"), F.lit("")))
-    entity = F.coalesce(*(F.when(labels == p, F.lit(e)) for p, e in _PLAN_ENTITIES.items()))
+    # one pass over the node, then a look-up; no repeated groups: their matching is recursive and nesting has no bound
+    way = F.regexp_replace("node", r"(?:(?<=\])\.subtasks)?\[\d+\]", "")
+    entity = F.create_map(*[F.lit(x) for pair in _PLAN_ENTITIES.items() for x in pair])[way]
     keyed = adjacent.select(
         "rec_id", "node", "parent", "label", "scalar", entity.alias("entity")
     ).where(F.col("entity").isNotNull() | ((F.col("parent") != "") & F.col("label").isin(*PLAN_ATTRIBUTES)))
