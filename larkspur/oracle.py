@@ -109,6 +109,8 @@ SQL: dict[str, str] = {
     "snippet3": "SELECT doc_id, array_to_string(string_split(text, chr(10))[1:3], chr(10)) || CASE WHEN len(string_split(text, chr(10))) > 3 THEN chr(10) || '...' ELSE '' END AS snippet FROM documents WHERE text IS NOT NULL",
     "sliding_block_match": f"""WITH b AS (SELECT doc_id, trim(line, ' ') || chr(10) || lead(trim(line, ' ')) OVER (PARTITION BY doc_id ORDER BY line_no) AS block FROM {_DOC_LINES})
         SELECT block, count(*) AS places, count(DISTINCT doc_id) AS documents FROM b WHERE length(block) > 40 GROUP BY block HAVING count(*) > 1""",
+    "sliding_block_match_all": f"""WITH b AS (SELECT doc_id, trim(line, ' ') || chr(10) || lead(trim(line, ' ')) OVER (PARTITION BY doc_id ORDER BY line_no) AS block FROM {_DOC_LINES})
+        SELECT block, count(*) AS places, count(DISTINCT doc_id) AS documents FROM b WHERE block IS NOT NULL GROUP BY block HAVING count(*) > 1""",
     "fuzzy_levenshtein": "SELECT a.p_brand, a.p_partkey AS a, b.p_partkey AS b, levenshtein(a.p_name, b.p_name) AS distance FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey WHERE levenshtein(a.p_name, b.p_name) <= 3",
     "json_props": "SELECT event_id, json_extract_string(props, '$.k')::INT AS k FROM events",
     "text_scalars": """SELECT p_partkey, regexp_replace(substr(regexp_replace(regexp_replace(lower(p_name || ' ' || p_type), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 40), '-+$', '') AS slug,

@@ -341,13 +341,22 @@ def snippet3(s, d):
     return table(s, d, "documents").where("text is not null").select("doc_id", text.first_lines(F.col("text")).alias("snippet"))
 
 
-def sliding_block_match(s, d):
-    """Two-line blocks of documents that stand in more than one place."""
+def _blocks(s, d):
     lines = search.numbered_lines(table(s, d, "documents").where("text is not null"), "text", ["doc_id"])
-    blocks = fuzzy.sliding_blocks(lines, ["doc_id"], 2).where("length(block) > 40")
+    return fuzzy.sliding_blocks(lines, ["doc_id"], 2)
+
+
+def sliding_block_match(s, d):
+    """Two-line blocks of over 40 characters of documents that stand in more than one place; its SQL has that limit."""
+    blocks = _blocks(s, d).where("length(block) > 40")
     return blocks.groupBy("block").agg(F.count("*").alias("places"), F.countDistinct("doc_id").alias("documents")).where("places > 1")
 
 
+def sliding_block_match_all(s, d):
+    """Two-line blocks of documents, of any length, that stand in more than one place."""
+    return _blocks(s, d).groupBy("block").agg(F.count("*").alias("places"), F.countDistinct("doc_id").alias("documents")).where("places > 1")
+
+
 def fuzzy_levenshtein(s, d):
     return fuzzy.near_names(table(s, d, "part"), "p_brand", "p_name", "p_partkey", 3)
 
@@ -503,7 +512,7 @@ def queries() -> dict:
         knn_topk, knn_scoped, grep_content, grep_files, grep_count, grep_code_glob, text_search, interval_first, interval_innermost, asof_backward, longest_prefix, all_prefixes, first_candidate,
         ref_left_join, outline_tree, enclosing_symbol, anti_embed, live_vectors, typeref_edges, in_degree, file_rank, edge_count, graph_nodes, snapshot_diff, upsert_latest, newest_files, index_summary,
         lang_stats, dir_summary, symbol_lookup, resolver, serialize_text, token_budget_prefix, top_files, siblings, did_you_mean, diag_query, diag_summary, diag_by_group, diag_filtered_after_limit,
-        run_errors, dedup_thinning, debounce_session, tree_rollup, snippet3, sliding_block_match, fuzzy_levenshtein, json_props, text_scalars, set_operations, file_page, glob_files,
+        run_errors, dedup_thinning, debounce_session, tree_rollup, snippet3, sliding_block_match, sliding_block_match_all, fuzzy_levenshtein, json_props, text_scalars, set_operations, file_page, glob_files,
         grep_context, nearest_hit, last_events, ignore_filter, language_map, class_outlines, member_dependencies, shorten_texts, log_summary, paged, maintained, directory_tree,
         edited_files, text_embedding, p1_cancelled, symbols_extract, imports_extract, type_refs_extract, p1_entities, p1_progress, p1_promoted, p1_current, p1_pending_checkpoints, p1_context,
     ]
