@@ -9,17 +9,19 @@ from ..functions import vectors as V
 from .joins import first_interval, interval_join
 
 
+BLOCK = 1000
+
+
 def knn(vectors: DataFrame, query: DataFrame, id_: str, embedding: str, k: int, scope: Column | None = None) -> DataFrame:
     """The k nearest to each row of ``query`` (q_id, q): exact, the scope filtered first.
 
-    The query set is small by contract and checked: it is broadcast only up to 1,000 rows.
+    Up to ``BLOCK`` queries are broadcast. More are dealt into blocks of about that many, and each block meets each
+    split of the vectors in a task of its own; only the k best of a query in a split are shuffled.
     """
-    asked = query.limit(1001)
-    n = asked.count()
-    if n > 1000:
-        raise ValueError("more than 1,000 queries: use the forest search or blocks")
+    n = query.count()
     rows = vectors if scope is None else vectors.where(scope)
-    scored = rows.crossJoin(F.broadcast(asked)).where(F.col(id_) != F.col("q_id")).withColumn("similarity", V.cosine(F.col(embedding), F.col("q")))
+    asked = F.broadcast(query) if n <= BLOCK else query.repartition(-(-n // BLOCK)).hint("shuffle_replicate_nl")
+    scored = rows.crossJoin(asked).where(F.col(id_) != F.col("q_id")).withColumn("similarity", V.cosine(F.col(embedding), F.col("q")))
     scored = scored.where("similarity is not null").select("q_id", id_, F.round(V.similarity_score(1 - F.col("similarity")), 3).alias("score"), "similarity")
     if n == 1:
         return scored.orderBy(F.col("similarity").desc(), id_).limit(k).drop("similarity")

@@ -6,6 +6,10 @@ _KNN = """
     SELECT e.vec_id, round(1 - (1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])) / 2, 3) AS score
     FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.vec_id <> 0 {scope}
     ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, vec_id LIMIT 10"""
+_KNN_ALL = """
+    SELECT q.vec_id AS q_id, e.vec_id, round(1 - (1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])) / 2, 3) AS score
+    FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0) q WHERE e.vec_id <> q.vec_id {scope}
+    QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) <= 10"""
 _LINES = "(SELECT {keys}, unnest(string_split(replace({text}, chr(13), ''), chr(10))) AS line, generate_subscripts(string_split(replace({text}, chr(13), ''), chr(10)), 1) AS line_no FROM {table})"
 _DOC_LINES = _LINES.format(keys="doc_id", text="text", table="documents")
 _CODE_LINES = _LINES.format(keys="file_id, file", text="content", table="source_files")
@@ -26,6 +30,8 @@ _LANGUAGE = "CASE lower(regexp_extract(file, '\\.([^./]+)$', 1)) WHEN 'ts' THEN
 SQL: dict[str, str] = {
     "knn_topk": _KNN.format(scope=""),
     "knn_scoped": _KNN.format(scope="AND label = 3"),
+    "knn_topk_all": _KNN_ALL.format(scope=""),
+    "knn_scoped_all": _KNN_ALL.format(scope="AND e.label = 3"),
     "grep_content": f"SELECT doc_id, line_no, line FROM {_DOC_LINES} WHERE regexp_matches(line, '(?i)the')",
     "grep_files": f"SELECT DISTINCT doc_id FROM {_DOC_LINES} WHERE contains(line, 'lease')",
     "grep_count": f"SELECT doc_id, count(*) AS matches FROM {_DOC_LINES} WHERE regexp_matches(line, '(?i)the') GROUP BY doc_id",

@@ -27,15 +27,32 @@ def _events(s: SparkSession, d: str) -> DataFrame:
 # search --------------------------------------------------------------------------------------------
 
 
+def _asked(rows: DataFrame, which: str) -> DataFrame:
+    return rows.where(which).select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"))
+
+
 def knn_topk(s, d):
-    """The ten nearest vectors to vector 0."""
+    """The ten nearest vectors to vector 0; its SQL asks for this one only."""
     rows = table(s, d, "embeddings")
-    return search.knn(rows, rows.where("vec_id = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q")), "vec_id", "embedding", 10).select("vec_id", "score")
+    return search.knn(rows, _asked(rows, "vec_id = 0"), "vec_id", "embedding", 10).select("vec_id", "score")
 
 
 def knn_scoped(s, d):
+    """The ten nearest of label 3 to vector 0; its SQL asks for this one only."""
+    rows = table(s, d, "embeddings")
+    return search.knn(rows, _asked(rows, "vec_id = 0"), "vec_id", "embedding", 10, F.col("label") == 3).select("vec_id", "score")
+
+
+def knn_topk_all(s, d):
+    """The ten nearest vectors to every vector whose id is divisible by 50."""
+    rows = table(s, d, "embeddings")
+    return search.knn(rows, _asked(rows, "vec_id % 50 = 0"), "vec_id", "embedding", 10).select("q_id", "vec_id", "score")
+
+
+def knn_scoped_all(s, d):
+    """The ten nearest of label 3 to every vector whose id is divisible by 50."""
     rows = table(s, d, "embeddings")
-    return search.knn(rows, rows.where("vec_id = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q")), "vec_id", "embedding", 10, F.col("label") == 3).select("vec_id", "score")
+    return search.knn(rows, _asked(rows, "vec_id % 50 = 0"), "vec_id", "embedding", 10, F.col("label") == 3).select("q_id", "vec_id", "score")
 
 
 def grep_content(s, d):
@@ -509,7 +526,7 @@ def type_refs_extract(s, d):
 
 def queries() -> dict:
     named = [
-        knn_topk, knn_scoped, grep_content, grep_files, grep_count, grep_code_glob, text_search, interval_first, interval_innermost, asof_backward, longest_prefix, all_prefixes, first_candidate,
+        knn_topk, knn_scoped, knn_topk_all, knn_scoped_all, grep_content, grep_files, grep_count, grep_code_glob, text_search, interval_first, interval_innermost, asof_backward, longest_prefix, all_prefixes, first_candidate,
         ref_left_join, outline_tree, enclosing_symbol, anti_embed, live_vectors, typeref_edges, in_degree, file_rank, edge_count, graph_nodes, snapshot_diff, upsert_latest, newest_files, index_summary,
         lang_stats, dir_summary, symbol_lookup, resolver, serialize_text, token_budget_prefix, top_files, siblings, did_you_mean, diag_query, diag_summary, diag_by_group, diag_filtered_after_limit,
         run_errors, dedup_thinning, debounce_session, tree_rollup, snippet3, sliding_block_match, sliding_block_match_all, fuzzy_levenshtein, json_props, text_scalars, set_operations, file_page, glob_files,

@@ -1,6 +1,7 @@
 """Queries take every row that their operator is for."""
 
 import __spark_entry__ as entry
+from larkspur.operators import search
 
 
 def written(spark, folder, name, rows, schema):
@@ -11,3 +12,23 @@ def written(spark, folder, name, rows, schema):
 def test_short_blocks_are_listed(spark, tmp_path):
     d = written(spark, tmp_path, "documents", [(1, "```\n\nx"), (2, "a\n```\n"), (3, None), (4, "y" * 50)], "doc_id bigint, text string")
     assert {tuple(r) for r in entry.queries()["sliding_block_match_all"](spark, d).collect()} == {("```\n", 2, 2)}
+
+
+def test_every_query_vector_gets_its_neighbours(spark, tmp_path):
+    rows = [(i, [1.0, i / 100], i % 2) for i in range(101)]
+    d = written(spark, tmp_path, "embeddings", rows, "vec_id bigint, embedding array<double>, label int")
+    got = entry.queries()["knn_topk_all"](spark, d).collect()
+    assert {q: {r.vec_id for r in got if r.q_id == q} for q in (0, 50, 100)} == {0: set(range(1, 11)), 50: {*range(45, 50), *range(51, 56)}, 100: set(range(90, 100))}
+    assert len(got) == 30
+
+
+def test_more_queries_than_a_block(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [1.0, i / 100]) for i in range(60)], "vec_id bigint, embedding array<double>")
+    asked = rows.selectExpr("vec_id as q_id", "embedding as q")
+    whole = {tuple(r) for r in search.knn(rows, asked, "vec_id", "embedding", 3).collect()}
+    monkeypatch.setattr(search, "BLOCK", 7)
+    df = search.knn(rows, asked, "vec_id", "embedding", 3)
+    assert "CartesianProduct" in df._jdf.queryExecution().toString() and {tuple(r) for r in df.collect()} == whole and len(whole) == 180
+    many = spark.range(1001).selectExpr("id as q_id", "array(1.0D, id / 100) as q")
+    monkeypatch.undo()
+    assert search.knn(rows, many, "vec_id", "embedding", 3).count() == 3003
