@@ -4,9 +4,10 @@ Each line becomes a sequence of function words and word classes. A trigram model
 counted over the prose sentences of all documents. A line is abnormal when its mean surprisal lies more than
 ``Z`` standard errors above the model's own entropy (lists, tags, links), or when the page's own two-word
 phrases predict it (keywords woven into sentences: abnormally low perplexity under the page itself). An exact
-check of the abnormal lines follows: they must consist of repeated keywords, links without prose or tags, not of
-the technical classes (paths, identifiers, versions, timestamps) of logs, tables and listings. A page is flagged
-when such lines make up more than ``half`` of its text.
+check of the abnormal lines follows: they must consist of repeated keywords, words between commas, at least ``FEW``
+entries of one to three words a line, links without prose or tags, not of the technical classes (paths, identifiers,
+versions, timestamps) of logs, tables and listings. A page is flagged when such lines make up more than ``half`` of
+its text.
 
 Model size: the classes are fixed (about 300), so the counted trigrams, which are collected and broadcast, are
 bounded by the classes and don't grow with the pages. Scoring is narrow: no shuffle beyond the counts.
@@ -139,6 +140,28 @@ def is_prose(line: Line, text: str) -> bool:
     return n >= 6 and text[-1:] in ".!?" and line.function >= 0.15 * n and not line.links and not line.tags and line.technical <= 2
 
 
+_UNSPACED = re.compile(r"[\u0e00-\u0eff\u3040-\u30ff\u3400-\u9fff]")
+FEW = 8
+
+
+def is_list(line: Line, text: str) -> bool:
+    """Whether a line lists single words or phrases between commas, or tags and nothing else."""
+    n = len(line.words)
+    if line.links or line.numbers or line.technical:
+        return False
+    if line.tags:
+        return n == 0
+    signs = line.classes.count(",") + line.classes.count(";")
+    return n >= 6 and 3 * signs >= n and line.function <= 0.1 * n and text[-1] not in ".!?:" and not _UNSPACED.search(text)
+
+
+def is_entry(line: Line, text: str) -> bool:
+    """Whether a line is one entry of up to three words, perhaps behind a bullet, as in a list with one keyword a line."""
+    if not 1 <= len(line.words) <= 3 or line.links or line.tags or line.numbers or line.technical or line.function:
+        return False
+    return len(line.classes) - len(line.words) == (line.classes[0] in "-*") + (line.classes[-1] in ",;") and not _UNSPACED.search(text)
+
+
 def grams(classes: list[str]) -> Iterator[tuple[str, str, str]]:
     a, b = "<s>", "<s>"
     for c in [*classes, "</s>"]:
@@ -196,8 +219,10 @@ def spam_share(text: str, model: Model) -> float:
     phrases: Counter = Counter()
     for x in lines:
         phrases.update((a, b) for a, b, _ in x.phrases())
+    entries = [is_entry(x, t) for x, t in zip(lines, texts)]
+    listed = sum(entries) >= FEW
     spam = total = 0
-    for x in lines:
+    for x, line, entry in zip(lines, texts, entries):
         total += x.size
         n = len(x.words)
         units = n + x.links + x.tags + x.technical
@@ -216,7 +241,7 @@ def spam_share(text: str, model: Model) -> float:
         elif x.tags >= 2 and x.tags >= 0.5 * (n + x.tags):
             junk = True
         else:
-            junk = n >= 2 and keyed >= 0.4 and x.function <= 0.3 * n
+            junk = (n >= 2 and keyed >= 0.4 and x.function <= 0.3 * n) or (entry and listed) or is_list(x, line)
         # high under the prose model, or low under the page itself: its own phrases predict its sentences
         if junk and ((keyed >= 0.4 and x.function) or model.excess(x.classes) > Z):
             spam += x.size

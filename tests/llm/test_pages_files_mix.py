@@ -68,3 +68,11 @@ def test_mix(spark):
     assert drawn == {k: s[k].drawn_tokens for k in drawn} and abs(drawn["big"] / drawn["small"] - 2) < 0.05
     assert s["none"].drawn_tokens == 0 and s["other"].target_share is None and sorted(M.mixed(df, targets).collect()) == sorted(rows)
     assert M.mixed(df.limit(0), targets).count() == 0 and M.mixed(df, targets.limit(0)).count() == 0
+
+
+def test_lists_of_single_words(spark):
+    words = "linter debugger formatter compiler bundler profiler tracer editor terminal shell parser scanner emulator container registry scheduler".split()
+    spam = [", ".join(words), "\n".join(words), "\n".join("* " + w for w in words), "\n".join("#" + w for w in words), ", ".join(w + " tool" for w in words), ", ".join(f"{a} {b}" for a, b in zip(words, words[::-1]))]
+    fine = ["\n".join(PROSE * 3), "Разбор начинается с чтения всего файла целиком\nзатем строятся узлы дерева для каждой строки\nошибки собираются отдельно и выводятся позже", "这是一个解析器\n" * 20, "\n".join(PROSE + words[:4]), "\n".join(f"{w}: what it does for the reader" for w in words), "\n".join(f"{w}({v})" for w, v in zip(words, words[1:]))]
+    df = spark.createDataFrame(list(enumerate(fine + spam)), "doc_id bigint, text string")
+    assert {r.doc_id for r in W.found(df).collect()} == set(range(len(fine), len(fine) + len(spam)))
