@@ -175,11 +175,19 @@ def _parts(s, d):
 
 
 def typeref_edges(s, d):
-    """Files linked by type names: nations that share a first letter with a region's."""
+    """Nations that share a first letter, as its SQL has it."""
     refs = table(s, d, "nation").select(F.col("n_name").alias("file"), F.substring("n_name", 1, 1).alias("name"))
     return graph.reference_edges(refs, refs)
 
 
+def typeref_edges_code(s, d):
+    """Files linked by the type names they refer to, each to every file of its workspace that defines the name."""
+    path = F.concat(F.coalesce("workspace", F.lit("")), F.lit("/"), "file")
+    files = table(s, d, "source_files").where("content is not null").select(path.alias("file"), "content")
+    key = lambda column: F.concat(F.substring_index("file", "/", 1), F.lit("::"), column).alias("name")
+    return graph.reference_edges(extract.type_references(files).select("file", key("ref")), extract.symbols(files).select("file", key("name")))
+
+
 def in_degree(s, d):
     return graph.in_degree(_parts(s, d).select("file"), _graph(s, d))
 
@@ -527,7 +535,7 @@ def type_refs_extract(s, d):
 def queries() -> dict:
     named = [
         knn_topk, knn_scoped, knn_topk_all, knn_scoped_all, grep_content, grep_files, grep_count, grep_code_glob, text_search, interval_first, interval_innermost, asof_backward, longest_prefix, all_prefixes, first_candidate,
-        ref_left_join, outline_tree, enclosing_symbol, anti_embed, live_vectors, typeref_edges, in_degree, file_rank, edge_count, graph_nodes, snapshot_diff, upsert_latest, newest_files, index_summary,
+        ref_left_join, outline_tree, enclosing_symbol, anti_embed, live_vectors, typeref_edges, typeref_edges_code, in_degree, file_rank, edge_count, graph_nodes, snapshot_diff, upsert_latest, newest_files, index_summary,
         lang_stats, dir_summary, symbol_lookup, resolver, serialize_text, token_budget_prefix, top_files, siblings, did_you_mean, diag_query, diag_summary, diag_by_group, diag_filtered_after_limit,
         run_errors, dedup_thinning, debounce_session, tree_rollup, snippet3, sliding_block_match, sliding_block_match_all, fuzzy_levenshtein, json_props, text_scalars, set_operations, file_page, glob_files,
         grep_context, nearest_hit, last_events, ignore_filter, language_map, class_outlines, member_dependencies, shorten_texts, log_summary, paged, maintained, directory_tree,

@@ -32,3 +32,9 @@ def test_more_queries_than_a_block(spark, monkeypatch):
     many = spark.range(1001).selectExpr("id as q_id", "array(1.0D, id / 100) as q")
     monkeypatch.undo()
     assert search.knn(rows, many, "vec_id", "embedding", 3).count() == 3003
+
+
+def test_type_references_of_files(spark, tmp_path):
+    rows = [("w", "a.ts", "export interface Shard { n: number }\n"), ("w", "b.ts", "function f(x: Shard): void {\n}\n"), ("v", "c.ts", "function g(x: Shard): void {\n}\n"), ("w", "d.ts", None)]
+    d = written(spark, tmp_path, "source_files", rows, "workspace string, file string, content string")
+    assert {tuple(r) for r in entry.queries()["typeref_edges_code"](spark, d).collect()} == {("w/b.ts", "w/a.ts")}
