@@ -60,6 +60,8 @@ SQL: dict[str, str] = {
         SELECT p_partkey, target, candidate FROM c SEMI JOIN k USING (target) QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY candidate, target) = 1""",
     "ref_left_join": """WITH w AS (SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part), k AS (SELECT DISTINCT string_split(p_name, ' ')[1] AS word FROM part)
         SELECT p_partkey, CASE WHEN k.word IS NULL THEN w.word || ' (unresolved)' ELSE w.word END AS word FROM w LEFT JOIN k ON w.word = k.word""",
+    "ref_left_join_documents": """WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(text, '[^A-Za-z0-9_]+')) AS word FROM documents), k AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part)
+        SELECT doc_id, CASE WHEN k.word IS NULL THEN w.word || ' (unresolved)' ELSE w.word END AS word FROM w LEFT JOIN k ON w.word = k.word WHERE w.word <> ''""",
     "outline_tree": "SELECT r_regionkey, r_name, coalesce(string_agg(n_name, ', ' ORDER BY n_name), '') AS nations, count(n_name) AS n_nations FROM region LEFT JOIN nation ON r_regionkey = n_regionkey GROUP BY ALL",
     "enclosing_symbol": f"""WITH {_OUT}, c AS (SELECT * FROM o WHERE file_id IS NOT NULL AND start_line IS NOT NULL AND end_line IS NOT NULL),
         q AS (SELECT a.symbol_id, b.symbol_id AS parent_id, b.start_line AS s, b.end_line AS e FROM c a JOIN c b ON a.file_id = b.file_id AND b.start_line <= a.start_line AND b.end_line >= a.end_line AND b.end_line - b.start_line > a.end_line - a.start_line
@@ -97,6 +99,7 @@ SQL: dict[str, str] = {
     "top_files": "SELECT file_id, round(coalesce(rank, 0), 6) AS rank FROM source_files ORDER BY coalesce(rank, 0) DESC, file_id LIMIT (SELECT CASE WHEN count(*) <= 100 THEN count(*) WHEN count(*) <= 500 THEN 200 WHEN count(*) <= 2000 THEN 100 ELSE 50 END FROM source_files)",
     "siblings": f"WITH {_OUT} SELECT symbol_id, lag(name) OVER w AS previous, lead(name) OVER w AS following FROM o WINDOW w AS (PARTITION BY file_id ORDER BY start_line NULLS FIRST, symbol_id)",
     "did_you_mean": "SELECT n_name FROM nation WHERE contains(lower(n_name), 'nation_1') OR contains('nation_1', lower(n_name)) ORDER BY length(n_name), n_name LIMIT 3",
+    "did_you_mean_symbols": "SELECT DISTINCT name FROM outline_symbols WHERE contains(lower(name), 'shard') OR contains('shard', lower(name)) ORDER BY length(name), name LIMIT 3",
     "diag_query": f"WITH {_DIAG} SELECT event_id, severity, file FROM g WHERE severity <= 2 ORDER BY severity, file, line LIMIT 50",
     "diag_summary": f"WITH {_DIAG} SELECT {_COUNTS} FROM g",
     "diag_by_group": f"WITH {_DIAG} SELECT coalesce(root, '(unknown)') AS root, {_COUNTS} FROM g GROUP BY 1",

@@ -132,13 +132,20 @@ def first_candidate(s, d):
 
 
 def ref_left_join(s, d):
-    """Words of part names against brands' first words, the unresolved kept."""
+    """Words of part names against their first words, the unresolved kept, as its SQL has it."""
     p = table(s, d, "part")
     refs = p.select("p_partkey", F.explode(F.split("p_name", " ")).alias("word")).distinct()
     known = p.select(F.split("p_name", " ")[0].alias("word")).distinct()
     return joins.unresolved_left(refs, known, ["word"], "word").select("p_partkey", "word")
 
 
+def ref_left_join_documents(s, d):
+    """Words of documents against the words of part names, the unresolved kept."""
+    refs = table(s, d, "documents").select("doc_id", F.explode(F.split("text", "[^A-Za-z0-9_]+")).alias("word")).where("word <> ''").distinct()
+    known = table(s, d, "part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
+    return joins.unresolved_left(refs, known, ["word"], "word").select("doc_id", "word")
+
+
 def outline_tree(s, d):
     return joins.children_of(table(s, d, "region").select("r_regionkey", "r_name"), table(s, d, "nation").withColumnRenamed("n_regionkey", "r_regionkey"), "r_regionkey", "n_name", ["n_name"], "nations")
 
@@ -277,6 +284,11 @@ def did_you_mean(s, d):
     return search.did_you_mean(table(s, d, "nation").select("n_name"), "n_name", "nation_1", 3)
 
 
+def did_you_mean_symbols(s, d):
+    """The three shortest symbol names that hold or are held by a name asked for."""
+    return search.did_you_mean(table(s, d, "outline_symbols").select("name").distinct(), "name", "shard", 3)
+
+
 # diagnostics ---------------------------------------------------------------------------------------
 
 
@@ -535,8 +547,8 @@ def type_refs_extract(s, d):
 def queries() -> dict:
     named = [
         knn_topk, knn_scoped, knn_topk_all, knn_scoped_all, grep_content, grep_files, grep_count, grep_code_glob, text_search, interval_first, interval_innermost, asof_backward, longest_prefix, all_prefixes, first_candidate,
-        ref_left_join, outline_tree, enclosing_symbol, anti_embed, live_vectors, typeref_edges, typeref_edges_code, in_degree, file_rank, edge_count, graph_nodes, snapshot_diff, upsert_latest, newest_files, index_summary,
-        lang_stats, dir_summary, symbol_lookup, resolver, serialize_text, token_budget_prefix, top_files, siblings, did_you_mean, diag_query, diag_summary, diag_by_group, diag_filtered_after_limit,
+        ref_left_join, ref_left_join_documents, outline_tree, enclosing_symbol, anti_embed, live_vectors, typeref_edges, typeref_edges_code, in_degree, file_rank, edge_count, graph_nodes, snapshot_diff, upsert_latest, newest_files, index_summary,
+        lang_stats, dir_summary, symbol_lookup, resolver, serialize_text, token_budget_prefix, top_files, siblings, did_you_mean, did_you_mean_symbols, diag_query, diag_summary, diag_by_group, diag_filtered_after_limit,
         run_errors, dedup_thinning, debounce_session, tree_rollup, snippet3, sliding_block_match, sliding_block_match_all, fuzzy_levenshtein, json_props, text_scalars, set_operations, file_page, glob_files,
         grep_context, nearest_hit, last_events, ignore_filter, language_map, class_outlines, member_dependencies, shorten_texts, log_summary, paged, maintained, directory_tree,
         edited_files, text_embedding, p1_cancelled, symbols_extract, imports_extract, type_refs_extract, p1_entities, p1_progress, p1_promoted, p1_current, p1_pending_checkpoints, p1_context,

@@ -38,3 +38,14 @@ def test_type_references_of_files(spark, tmp_path):
     rows = [("w", "a.ts", "export interface Shard { n: number }\n"), ("w", "b.ts", "function f(x: Shard): void {\n}\n"), ("v", "c.ts", "function g(x: Shard): void {\n}\n"), ("w", "d.ts", None)]
     d = written(spark, tmp_path, "source_files", rows, "workspace string, file string, content string")
     assert {tuple(r) for r in entry.queries()["typeref_edges_code"](spark, d).collect()} == {("w/b.ts", "w/a.ts")}
+
+
+def test_words_of_documents(spark, tmp_path):
+    written(spark, tmp_path, "part", [(1, "green lamp")], "p_partkey bigint, p_name string")
+    d = written(spark, tmp_path, "documents", [(1, "A lamp, a lamp."), (2, None)], "doc_id bigint, text string")
+    assert {tuple(r) for r in entry.queries()["ref_left_join_documents"](spark, d).collect()} == {(1, "lamp"), (1, "A (unresolved)"), (1, "a (unresolved)")}
+
+
+def test_symbol_names_are_searched(spark, tmp_path):
+    d = written(spark, tmp_path, "outline_symbols", [("openShard",), ("Shard",), ("Shard",), ("shards",), ("other",)], "name string")
+    assert [r.name for r in entry.queries()["did_you_mean_symbols"](spark, d).collect()] == ["Shard", "shards", "openShard"]
