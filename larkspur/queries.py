@@ -512,10 +512,10 @@ def directory_tree(s, d):
 
 def edited_files(s, d):
     """Each file's second line replaced through the edit cascade, found by its trimmed text."""
-    f = table(s, d, "source_files").select("file_id", F.regexp_replace("content", "\r", "").alias("content")).where("length(content) > 20")
+    f = table(s, d, "source_files").select("file_id", F.regexp_replace("content", "\r", "").alias("content"))
     line = F.try_element_at(F.split("content", "\n"), F.lit(2))
     edits = F.array(F.struct(F.trim(line).alias("old_text"), F.lit("EDITED").alias("new_text"), F.lit(2).alias("line_hint")))
-    return fuzzy.apply_edits(f.withColumn("edits", edits)).select("file_id", F.element_at("strategies", 1).alias("strategy"), F.md5("result").alias("result"))
+    return fuzzy.apply_edits(f.withColumn("edits", edits)).select("file_id", F.try_element_at("strategies", F.lit(1)).alias("strategy"), F.md5("result").alias("result"))
 
 
 def text_embedding(s, d):

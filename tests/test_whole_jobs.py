@@ -1,5 +1,7 @@
 """Queries take every row that their operator is for."""
 
+import hashlib
+
 import __spark_entry__ as entry
 from larkspur.operators import search
 
@@ -49,3 +51,12 @@ def test_words_of_documents(spark, tmp_path):
 def test_symbol_names_are_searched(spark, tmp_path):
     d = written(spark, tmp_path, "outline_symbols", [("openShard",), ("Shard",), ("Shard",), ("shards",), ("other",)], "name string")
     assert [r.name for r in entry.queries()["did_you_mean_symbols"](spark, d).collect()] == ["Shard", "shards", "openShard"]
+
+
+def test_short_files_are_edited(spark, tmp_path):
+    d = written(spark, tmp_path, "source_files", [(1, "a\nbc\n"), (2, "one line"), (3, ""), (4, None), (5, "first line\nsecond line\nthird")], "file_id bigint, content string")
+    got = {r.file_id: r for r in entry.queries()["edited_files"](spark, d).collect()}
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    assert set(got) == {1, 2, 3, 4, 5} and (got[4].strategy, got[4].result) == (None, None)
+    assert got[1].result == md5("a\nEDITED\n") and got[5].result == md5("first line\nEDITED\nthird")
+    assert got[2].result == md5("one line") and got[3].result == md5("")
