@@ -129,6 +129,7 @@ SQL: dict[str, str] = {
         SELECT 'except', k FROM (SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier) UNION ALL
         SELECT 'intersect', k FROM (SELECT s_nationkey AS k FROM supplier INTERSECT SELECT c_nationkey FROM customer)""",
     "file_page": f"SELECT file_id, line_no, line FROM {_CODE_LINES} WHERE file_id = 1 AND line_no BETWEEN 3 AND 12",
+    "file_page_all": f"SELECT file_id, line_no, line FROM {_CODE_LINES} WHERE line_no BETWEEN 3 AND 12",
     "glob_files": "SELECT file_id, file FROM source_files WHERE regexp_matches(file, '^src/(?:[^/]+/)*[^/]*\\.(?:ts|py)$')",
     "grep_context": f"""WITH l AS (SELECT file_id, line_no, line FROM {_CODE_LINES}), h AS (SELECT file_id, line_no FROM l WHERE regexp_matches(line, 'except|catch')),
         w AS (SELECT DISTINCT file_id, line_no + o AS line_no FROM h, (SELECT unnest([-2, -1, 0, 1, 2]) AS o))

@@ -421,6 +421,13 @@ def file_page(s, d):
     return read_page(lines, 3, 10).select("file_id", "line_no", "line")
 
 
+def file_page_all(s, d):
+    """Lines 3 to 12 of every file."""
+    from .sources.files import read_page
+
+    return read_page(search.numbered_lines(table(s, d, "source_files"), "content", ["file_id"]), 3, 10).select("file_id", "line_no", "line")
+
+
 def glob_files(s, d):
     from .sources.files import glob_regex
 
@@ -549,7 +556,7 @@ def queries() -> dict:
         knn_topk, knn_scoped, knn_topk_all, knn_scoped_all, grep_content, grep_files, grep_count, grep_code_glob, text_search, interval_first, interval_innermost, asof_backward, longest_prefix, all_prefixes, first_candidate,
         ref_left_join, ref_left_join_documents, outline_tree, enclosing_symbol, anti_embed, live_vectors, typeref_edges, typeref_edges_code, in_degree, file_rank, edge_count, graph_nodes, snapshot_diff, upsert_latest, newest_files, index_summary,
         lang_stats, dir_summary, symbol_lookup, resolver, serialize_text, token_budget_prefix, top_files, siblings, did_you_mean, did_you_mean_symbols, diag_query, diag_summary, diag_by_group, diag_filtered_after_limit,
-        run_errors, dedup_thinning, debounce_session, tree_rollup, snippet3, sliding_block_match, sliding_block_match_all, fuzzy_levenshtein, json_props, text_scalars, set_operations, file_page, glob_files,
+        run_errors, dedup_thinning, debounce_session, tree_rollup, snippet3, sliding_block_match, sliding_block_match_all, fuzzy_levenshtein, json_props, text_scalars, set_operations, file_page, file_page_all, glob_files,
         grep_context, nearest_hit, last_events, ignore_filter, language_map, class_outlines, member_dependencies, shorten_texts, log_summary, paged, maintained, directory_tree,
         edited_files, text_embedding, p1_cancelled, symbols_extract, imports_extract, type_refs_extract, p1_entities, p1_progress, p1_promoted, p1_current, p1_pending_checkpoints, p1_context,
     ]

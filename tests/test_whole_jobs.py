@@ -60,3 +60,8 @@ def test_short_files_are_edited(spark, tmp_path):
     assert set(got) == {1, 2, 3, 4, 5} and (got[4].strategy, got[4].result) == (None, None)
     assert got[1].result == md5("a\nEDITED\n") and got[5].result == md5("first line\nEDITED\nthird")
     assert got[2].result == md5("one line") and got[3].result == md5("")
+
+
+def test_every_file_has_a_page(spark, tmp_path):
+    d = written(spark, tmp_path, "source_files", [(1, "a\nb\nc"), (2, "\n".join(map(str, range(1, 15)))), (3, None), (4, "x")], "file_id bigint, content string")
+    assert {tuple(r) for r in entry.queries()["file_page_all"](spark, d).collect()} == {(1, 3, "c")} | {(2, i, str(i)) for i in range(3, 13)}
