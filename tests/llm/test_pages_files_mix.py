@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 from larkspur.llm import handwritten as H
 from larkspur.llm import mixing as M
@@ -21,6 +22,44 @@ def test_pages(spark):
     assert W.found(df.limit(0)).count() == 0
 
 
+def laid(texts):
+    return W.Pages(W.Lexer(), texts)
+
+
+def prose_model(texts):
+    pages = laid(texts)
+    keys, piece = pages.trigrams()
+    s = pages.cached()[pages.prose[pages.piece] & (pages.c >= W.CONTENT) & (pages.c < W.FUNCTION)]
+    return W.Model(dict(Counter(keys[pages.prose[piece]].tolist())), (len(s), s.sum(), (s * s).sum()))
+
+
+def test_perplexity_decides(monkeypatch):
+    """A change list and pretended sentences differ by perplexity alone: without the model both are taken, or neither."""
+    verbs, nouns = ["route", "merge", "split", "verify", "count", "load"], ["envelope", "lease", "symbol", "rank", "digest", "anchor"]
+    changes = ["\n".join(f"- {R.choice(verbs)} {R.choice(nouns)} {R.choice(nouns)} and {R.choice(nouns)} {R.choice(nouns)}" for _ in range(8)) for _ in range(40)]
+    spam = " ".join("Best desk lamp for cheap desk lamp users, get desk lamp free desk lamp at desk lamp shop." for _ in range(8))
+    model = prose_model([" ".join(PROSE), *changes])
+    pages = laid([changes[0], spam, " ".join(PROSE), ", ".join(f"{a} {b}" for a, b in zip(nouns, verbs)), None, ""])
+    assert not W.other_kind(pages)[[0, 1]].any()
+    got = W.spam_shares(pages, model) > 0.5
+    assert got.tolist() == [False, True, False, True, False, False]
+    run_on = laid([" and ".join("best desk lamp for cheap desk lamp" for _ in range(12)), " ".join(PROSE)])
+    assert model.low(run_on)[0] > W.LOW > max(model.low(run_on)[1:])  # the page predicts itself
+    monkeypatch.setattr(W.Model, "high", lambda self, p: W.np.full(p.units, 99.0))
+    assert (W.spam_shares(pages, model) > 0.5).tolist()[:2] == [True, True]
+    monkeypatch.setattr(W.Model, "high", lambda self, p: W.np.zeros(p.units))
+    monkeypatch.setattr(W.Model, "low", lambda self, p: W.np.zeros(p.units))
+    assert not (W.spam_shares(pages, model) > 0.5).any()
+
+
+def test_slices_do_not_matter():
+    """Layout in slices, a long text and repeated chunks give the shares of one layout."""
+    texts = [keywords(30), " ".join(PROSE), None, "x " * 5000 + keywords(2000), "#a\n#b"]
+    model = prose_model([" ".join(PROSE)] * 20)
+    lexer = W.Lexer()
+    assert [round(float(W.spam_shares(W.Pages(lexer, [t]), model)[0]), 9) for t in texts] == [round(float(x), 9) for x in W.spam_shares(laid(texts), model)]
+
+
 def code(seed, n=12):
     r = random.Random(seed)
     word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(8))
