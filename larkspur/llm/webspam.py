@@ -16,13 +16,13 @@ logs, listings, dependencies and tables (paths, identifiers, timestamps, version
 units of which more than every fifth word is a function word. A page is flagged when the abnormal units left hold more
 than ``half`` of its characters, i.e. when its median character stands in one.
 
-Model size: the classes are fixed (about 340), so the counted trigrams, which are collected and broadcast, are
+Model size: the classes are fixed (about 500), so the counted trigrams, which are collected and broadcast, are
 bounded by the classes and don't grow with the pages. Scoring is narrow: no shuffle beyond the counts. A worker reads
 each distinct chunk of characters once (a memo of bounded size) and scores whole slices of documents as arrays.
 
 Defined results: null and blank texts are not flagged; ties at exactly half are not flagged; a repeated doc_id
 counts once; without any prose in the table nothing is abnormal; ``source`` and ``lang`` are not read; texts are read
-whole at any length.
+whole at any length; scripts without blanks between words give no sequences and are not flagged.
 """
 
 from __future__ import annotations
@@ -52,13 +52,18 @@ FUNCTION_WORDS = frozenset(
     el los las lo uno unos unas y o u es son era está en con sin por para que quien cuando donde se su sus al del no más como si tras antes después solo cada todas todos pero porque hasta
     il gli nel della dei che non per con una sono di da e ed più anche come quando se
     o os as um uma do dos na nos que não por com se mais como para de em
-    het een van niet met voor zijn naar als ook maar wordt werd op te bij""".split()
+    het een van niet met voor zijn naar als ook maar wordt werd op te bij
+    och att det som är på för med den inte av till om var har ett eller när og er ikke til af fra kan vi jeg på ja tai on ei että se mutta kun jos myös
+    w z na do i nie się jest to że od po przy przez dla jak ale gdy jego oraz a v na je že se s při od po jako ale když aby
+    ve bir bu için ile da de ne ama gibi daha olan olarak her çok sonra kadar az a és nem hogy egy is meg csak ha de vagy mint și în cu pe la nu este sau din
+    yang dan di ke dari untuk dengan tidak ini itu pada adalah atau jika akan
+    и в не на с что по для как из от к а но или если при это его за о до после то же бы так когда все уже есть затем всё весь всего всех каждый каждой каждого та не на що з як до для але або це від""".split()
 )
 HIGH, LOW = 4.5, 5.5
 _TOKEN = re.compile(
     r"(?P<U>(?:https?://|ftp://|www\.)[^\s<>\"')\]]+)|(?P<H>\#[^\W\d_][\w-]*|\#\d+[^\W\d_][\w-]*)"
     r"|(?P<T>\d{4}-\d\d-\d\d(?:[T ]\d\d:\d\d(?::\d\d)?\S*)?|\b\d\d:\d\d:\d\d\S*)|(?P<V>[\^~v=]*\d+(?:\.\d+)+(?:-\w+)?)"
-    r"|(?P<I>`[^`\n]*`|(?<![\w.-])[\w.-]*+/[\w./-]+|\w+(?:::\w+)+|[^\W\d]\w*\(\)|[^\W\d_]+_\w+|[a-z]+[A-Z]\w*|[A-Z][a-z]+(?:[A-Z][a-z]+)+\w*|\w+\.(?:ts|js|py|go|rs|json|md|ya?ml|toml|txt|java|c|h)\b|\b[0-9a-f]{7,40}\b)"
+    r"|(?P<I>`[^`\n]*`|(?<![\w.-])[\w.-]*+/[\w./-]+|\w+(?:::\w+)+|[^\W\d]\w*\(\w*\)|[^\W\d_]+_\w+|[a-z]+[A-Z]\w*|[A-Z][a-z]+(?:[A-Z][a-z]+)+\w*|\w+\.(?:ts|js|py|go|rs|json|md|ya?ml|toml|txt|java|c|h)\b|\b[0-9a-f]{7,40}\b)"
     r"|(?P<N>\d[\d,]*%?)|(?P<W>[^\W\d_]+(?:['’][^\W\d_]+)*(?:-[^\W\d_]+)*\d*)|(?P<P>[^\w\s])|(?P<X>\w+)"
 )
 _ANCHOR = re.compile(r"<a\b[^<>]*?href\s*=\s*[\"']?([^\"'\s<>]+)[^<>]*>", re.IGNORECASE)
@@ -66,13 +71,14 @@ _TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 _SPAN = re.compile(r"`[^`\n]*`")
 _ENDINGS = ("ing", "ly", "ed", "er", "est", "s", "en", "e", "ung", "ción", "tion", "a", "o")
 _CODE_SIGNS = "[]={}"
+_UNSPACED = re.compile(r"[\u0e00-\u0eff\u3040-\u30ff\u3400-\u9fff]")
 
 # the alphabet of the model: its two marks, kinds of tokens, content words by ending, function words
-CLASSES = ["<s>", "</s>", *"UHTVINXPC", "w", *(f"w{k}" for k in range(len(_ENDINGS))), *sorted(FUNCTION_WORDS)]
+CLASSES = ["<s>", "</s>", *"UHTVINXPC", "<w>", *(f"<w{k}>" for k in range(len(_ENDINGS))), *sorted(FUNCTION_WORDS)]
 CLASS = {name: i for i, name in enumerate(CLASSES)}
 SIZE = len(CLASSES)
 START, END = CLASS["<s>"], CLASS["</s>"]
-CONTENT, FUNCTION = CLASS["w"], CLASS["w"] + 1 + len(_ENDINGS)  # content classes end where function words begin
+CONTENT, FUNCTION = CLASS["<w>"], CLASS["<w>"] + 1 + len(_ENDINGS)  # content classes end where function words begin
 CHARS = 1_000_000  # characters of documents laid out at once
 MEMO = 300_000  # chunks a worker remembers
 VOCABULARY = 8192.0  # words a word not met on its page is drawn from
@@ -100,14 +106,14 @@ class Lexer(dict):
         number = self[chunk] = len(self.chars)
         for m in _TOKEN.finditer(chunk):
             kind, word = m.lastgroup, 0
-            if kind == "W":
+            if kind == "W" and (m.group().isascii() or not _UNSPACED.search(m.group())):
                 low = m.group().lower()
                 c = word_class(low)
                 word = xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass")) >> 1
             elif kind == "P":
                 c = CLASS["C" if m.group() in _CODE_SIGNS else "P"]
             else:
-                c = CLASS[kind]
+                c = CLASS[kind if kind != "W" else "X"]
             self.classes.append(c)
             self.words.append(word)
         self.start.append(len(self.classes))
