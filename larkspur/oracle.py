@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import plansql
+
 _KNN = """
     SELECT e.vec_id, round(1 - (1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])) / 2, 3) AS score
     FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.vec_id <> 0 {scope}
@@ -155,3 +157,5 @@ SQL: dict[str, str] = {
         n AS (SELECT CASE WHEN contains(path, '/') THEN regexp_extract(path, '^(.*)/[^/]*$', 1) ELSE '' END AS parent, count(*) AS c FROM p GROUP BY 1)
         SELECT path, CASE WHEN contains(path, '/') THEN regexp_extract(path, '^(.*)/[^/]*$', 1) ELSE '' END AS parent, is_dir, coalesce(c, 0) AS children FROM p LEFT JOIN n ON n.parent = p.path WHERE len(string_split(path, '/')) <= 2""",
 }
+
+SQL |= plansql.SQL

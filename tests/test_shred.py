@@ -72,3 +72,33 @@ def test_attributes_are_pivoted(spark):
     df = spark.createDataFrame([(1, json.dumps(PLAN))], "rec_id bigint, raw string")
     rows = {(r.entity, r.path): r for r in S.plan_entities(S.shred(df)).collect()}
     assert rows["task", "1"].title == "a" and rows["task", "1"].status == "pending" and rows["finding", "1/3"].text == "y" and rows["checkpoint", "c1"].taskid == "1"
+
+
+def table_of(*raws):
+    return [{r[0]: (r[1], r[2], r[3], r[4], r[5]) for r in S.adjacency(json.dumps(x), S.PLAN)} for x in raws]
+
+
+def test_nothing_unlisted_is_lost():
+    plan = {"planId": "p", "tasks": [{"meta": {"a": 1, "deep": {"b": [1, {"c": None, "d": "x"}]}}, "links": [{"k": 1}, None, {"k": 2}], "empty": [], "none": {}}], "history": [{"event": "e"}]}
+    (got,) = table_of(plan)
+    assert got["tasks[1].meta"][3] == "object" and got["tasks[1].meta.a"] == ("tasks[1].meta", "a", 1, "scalar", "1")
+    assert got["tasks[1].meta.deep.b[2].d"] == ("tasks[1].meta.deep.b[2]", "d", 1, "scalar", "x") and got["tasks[1].meta.deep.b[1]"][4] == "1"
+    assert got["tasks[1].links[1].k"][4] == "1" and got["tasks[1].links[3].k"][4] == "2" and "tasks[1].links[2]" not in got
+    assert got["tasks[1].empty"][3] == "array" and got["tasks[1].none"][3] == "object" and got["history[1].event"][4] == "e"
+    assert all(parent == "" or parent in got for parent, *_ in got.values())
+
+
+def test_every_element_and_every_body_is_read(spark):
+    two = {"tasks": [{"context": [{"findings": ["a"]}, {"findings": ["b", "c"]}]}]}
+    envelope = {"kind": "pair", "first": {"tasks": [{"title": "x"}]}, "second": {"tasks": [{"title": "y"}, {"title": "z"}]}}
+    df = spark.createDataFrame([(1, json.dumps(two)), (2, json.dumps(envelope))], "rec_id bigint, raw string")
+    rows = S.plan_entities(S.shred(df)).collect()
+    assert sorted((r.path, r.text) for r in rows if r.entity == "finding") == [("1/1", "a"), ("1/1", "b"), ("1/2", "c")]
+    assert sorted((r.path, r.title) for r in rows if r.rec_id == 2) == [("1", "x"), ("1", "y"), ("2", "z")]
+    (got,) = table_of(envelope)
+    assert got["kind"][4] == "pair" and got["second.tasks[2].title"][4] == "z"
+
+
+def test_equal_labels_keep_both():
+    (got,) = table_of({"tasks": [{"my_key": 1, "myKey": 2, "subTasks": [{"id": "a"}], "sub_tasks": [{"id": "b"}]}]})
+    assert got["tasks[1].mykey"][4] == "1" and got["tasks[1].mykey~2"][4] == "2" and got["tasks[1].subtasks~2[1].id"][4] == "b"
