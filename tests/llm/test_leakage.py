@@ -65,3 +65,55 @@ def test_any_few_edits_are_found(spark):
 def test_empty_tables(spark):
     df = spark.createDataFrame([(1, "x")], "doc_id bigint, text string")
     assert L.found(df.limit(0), table(spark)).count() == 0 and L.found(df, table(spark).limit(0)).count() == 0
+
+
+def test_one_piece_is_enough(spark):
+    """A 30-word item with as many changes as its error budget keeps one piece, and is found by it."""
+    w = ["u%d" % i for i in range(30)]
+    changed = [x if i % 3 != 1 or i == 13 else "other%d" % i for i, x in enumerate(w)]
+    block = L.Items([(5, w)], 3)
+    numbers = L.np.array([block.number.get(x, 0) for x in changed], dtype=L.np.int32)
+    assert len(block.hits(numbers)[0]) == 1 and L.myers(w, changed) == 9
+    items = spark.createDataFrame([(5, HEAD + "\n" + " ".join(w))], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, noise(20) + " " + " ".join(changed) + " " + noise(9)), (2, " ".join(w[:3]) + " " + noise(40))], "doc_id bigint, text string")
+    assert [tuple(r) for r in L.found(docs, items).collect()] == [(1, 5)]
+
+
+def test_short_items(spark):
+    items = spark.createDataFrame([(1, HEAD + "\n" + " ".join("s%d" % i for i in range(12))), (2, HEAD + "\n" + " ".join("t%d" % i for i in range(7)))], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, noise(5) + " " + " ".join("s%d" % i for i in range(12))), (2, " ".join("s%d" % i for i in range(9))), (3, " ".join("t%d" % i for i in range(7)))], "doc_id bigint, text string")
+    assert [tuple(r) for r in L.found(docs, items).collect()] == [(1, 1)]
+
+
+def test_many_repeats_end_soon():
+    import time
+
+    w = ITEMS[0][1]
+    block = L.Items([(0, w)], 3)
+    doc = L.np.array([block.number.get(x, 0) for x in (w[:12] + ["zzz"]) * 100_000], dtype=L.np.int32)
+    began = time.perf_counter()
+    at, _, start = block.hits(doc)
+    assert len(at) >= 400_000 and block.held(0, doc.tolist(), list(zip(at.tolist(), start.tolist())), 20, 8) == 0
+    assert time.perf_counter() - began < 60
+
+
+def test_blocks_of_items_agree(spark, monkeypatch):
+    texts = [noise(9) + " " + " ".join(w[10:40]) for _, w in ITEMS]
+    whole = pairs(spark, texts)
+    monkeypatch.setattr(L, "BLOCK_WORDS", 200)
+    assert pairs(spark, texts) == whole and len(whole) == len(ITEMS)
+
+
+def test_two_stretches_by_brute_force():
+    for _ in range(400):
+        found = []
+        for _ in range(R.randint(0, 7)):
+            a, c, n = R.randint(0, 40), R.randint(0, 90), R.randint(4, 15)
+            found.append((a, min(60, a + n), c, c + n))
+        good = [x for x in found if x[1] - x[0] >= 8]
+        best = max((b - a for a, b, _, _ in good), default=0)
+        for a, b, _, d in good:
+            for a2, b2, c2, _ in good:
+                if a2 >= b - 2 and c2 >= d - 2:
+                    best = max(best, b - a + max(0, b2 - max(a2, b)))
+        assert L.covered(sorted(found, key=lambda x: (x[2], x)), 8, 60) == best
