@@ -8,9 +8,11 @@ the languages and are meant to accept all of what is valid.
 
 from __future__ import annotations
 
+import copy
 import re
 from collections.abc import Callable
 
+from . import jsx
 from .derive import Machine
 
 CACHE_LIMIT = 200_000
@@ -34,6 +36,9 @@ class Classes(dict):
 
 
 class Language:
+    #: what is done to a text before it is read
+    prepare = None
+
     def __init__(self, name: str, pattern: str, machine: Machine, fixed: dict[str, int], classify, layout=None):
         self.name, self.machine, self.layout = name, machine, layout
         self.lex = re.compile(pattern)
@@ -612,12 +617,19 @@ def _python() -> Language:
     return Language("python", pattern, m, fixed, classify, layout)
 
 
-#: extension to language
-EXTENSIONS = {"ts": "typescript", "js": "javascript", "py": "python", "go": "go", "rs": "rust"}
+# fixed values: languages by extension
+EXTENSIONS = {
+    "ts": "typescript", "mts": "typescript", "cts": "typescript", "tsx": "tsx", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "jsx",
+    "py": "python", "pyi": "python", "go": "go", "rs": "rust",
+}
 _MADE: dict[str, Language] = {}
 
 
 def language(name: str) -> Language:
     if name not in _MADE:
+        if name in ("tsx", "jsx"):  # elements are read as array literals
+            _MADE[name] = copy.copy(language("typescript" if name == "tsx" else "javascript"))
+            _MADE[name].name, _MADE[name].prepare = name, jsx.plain
+            return _MADE[name]
         _MADE[name] = {"typescript": lambda: _javascript(True), "javascript": lambda: _javascript(False), "python": _python, "go": _go, "rust": _rust}[name]()
     return _MADE[name]

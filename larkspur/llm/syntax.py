@@ -35,6 +35,8 @@ def verdict(lang: str, content: str | None, place: bool = True) -> tuple[str, in
     if not content or content.isspace():
         return "valid", None, None
     reader = language(lang)
+    if reader.prepare:
+        content = reader.prepare(content)
     at = reader.check(content)
     if at == -1:
         return "valid", None, None
