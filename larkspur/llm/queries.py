@@ -11,6 +11,7 @@ def queries() -> dict:
         "p2_found": lambda s, d: syntax.found(table(s, d, "source_files")),
         "p2_rates": lambda s, d: syntax.rates(table(s, d, "source_files")),
         "p3_found": lambda s, d: handwritten.found(table(s, d, "source_files")),
+        "p3_causes": lambda s, d: handwritten.causes(table(s, d, "source_files")),
         "p4_found": lambda s, d: docpairs.found(table(s, d, "outline_symbols")),
         "p4_pairs": lambda s, d: docpairs.documented(table(s, d, "outline_symbols")),
         "p5_found": lambda s, d: neighbours.found(table(s, d, "symbol_vectors")),

@@ -68,15 +68,30 @@ def code(seed, n=12):
 
 def test_files(spark):
     made = lambda i: "\n".join(f"export function encode{k:03d}(m) {{\n  writeField({k}, m.a_{k}, {(k * 7 + i) % 90});\n}}" for k in range(20))
-    rows = [(i, "w", f"src/h{i}.ts", 50, 5, code(i)) for i in range(80)]
+    rows = [(i, "w", f"src/h{i}.ts", 50, 5, code(i) + "const T = [1, 2, 3, 4, 5, 6, 7];\n" * (i % 4 == 1)) for i in range(80)]
     rows += [(100 + i, "w", f"src/g{i}.ts", 50, 5, "// Code generated by x. DO NOT EDIT.\n" + made(i)) for i in range(25)]
-    rows += [(200, "w", "src/quiet.ts", None, None, made(77)), (201, "w", "a.ts", 9, 1, "export const T = [\n" + "0x1f, 0x2e, 3, 4,\n" * 40 + "];\n"), (202, "v", "b.ts", 9, 1, '{\n"a": [1, 2, 3, 4, 5],\n "b": {"c": "d", "e": 6}\n}')]
-    rows += [(300, "v", "lib/x.ts", 9, 9, code(500)), (301, "u", "src/y.ts", 9, 9, "// local patch\n" + code(500)), (302, "t", "src/z.ts", 9, 9, code(501) + "\n// Vendored from lib 2.0\n")]
+    table_of = lambda i: "export const T = [\n" + "".join(f"0x{i}f, 0x2e, {k}, 4,\n" for k in range(40)) + "];\n"
+    rows += [(200, "w", "src/quiet.ts", None, None, made(77))] + [(210 + i, "w", f"d{i}.ts", 9, 1, table_of(i)) for i in range(6)] + [(220, "v", "b.ts", 9, 1, '{\n"a": [1, 2, 3, 4, 5],\n "b": {"c": "d", "e": 6}\n}')]
+    for i in range(8):  # copies with and without a notice, changed a little
+        rows += [(300 + i, f"v{i}", "lib/x.ts", 9, 9, "// Vendored from lib 2.0\n" + f"// local patch {i}\n" * (i % 2) + code(500)), (310 + i, f"u{i}", "src/y.ts", 9, 9, f"// local patch {i}\n" * (i % 2) + code(500))]
+    rows += [(320, "t", "src/z.ts", 9, 9, code(501) + "\n// Vendored from lib 2.0\n")]
     rows += [(400, "w", "src/h0.ts", 50, 5, code(0)), (401, "w", "n.ts", 1, 1, None), (402, "w", "e.ts", 0, 0, "\n"), (403, "w", "src/own.ts", 9, 9, code(502) + 'const BANNER = "// Code generated by x. DO NOT EDIT.";\n// not generated: edit this file freely, it is kept by hand\n'), (404, "w", "t.ts", 9, 9, code(503) + "const T = [1, 2, 3, 4, 5, 6, 7, 8];\n")]
     df = spark.createDataFrame(rows, "file_id bigint, workspace string, file string, lines int, symbols int, content string")
-    got = {r.file_id: r.kind for r in H.judged(df).where("kind is not null").collect()}
-    assert got == {100 + i: "generated" for i in range(25)} | {200: "generated", 201: "data", 202: "data", 300: "vendored", 301: "vendored", 302: "vendored"}
+    got = {r.file_id: (r.kind, r.noticed) for r in H.judged(df).where("kind is not null").collect()}
+    want = {100 + i: ("generated", True) for i in range(25)} | {200: ("generated", False), 220: ("data", False), 320: ("vendored", True)} | {210 + i: ("data", False) for i in range(6)}
+    assert got == want | {300 + i: ("vendored", True) for i in range(8)} | {310 + i: ("vendored", False) for i in range(8)}
     assert H.found(df.limit(0)).count() == 0
+    # without a notice of any kind there is nothing to learn from
+    plain = df.where("file_id < 80 or file_id >= 400")
+    assert H.found(plain).count() == 0
+
+
+def test_hot_runs_are_counted(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, i, [1, 2 + i]) for i in range(60)] + [(100, 1000, [1, 7, 900]), (101, 1000, [900, 901])], "file_id bigint, origin bigint, runs array<bigint>")
+    for hot in (2, 8, 100_000):
+        monkeypatch.setattr(H, "HOT", hot)
+        got = {r.file_id: round(r.shared, 4) for r in H.shared_runs(rows).collect()}
+        assert got == {i: 1.0 if i == 5 else 0.5 for i in range(60)} | {100: 0.6667}
 
 
 def test_fit_is_exact_or_best():
