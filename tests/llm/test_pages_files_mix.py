@@ -75,7 +75,7 @@ def test_files(spark):
     for i in range(8):  # copies with and without a notice, changed a little
         rows += [(300 + i, f"v{i}", "lib/x.ts", 9, 9, "// Vendored from lib 2.0\n" + f"// local patch {i}\n" * (i % 2) + code(500)), (310 + i, f"u{i}", "src/y.ts", 9, 9, f"// local patch {i}\n" * (i % 2) + code(500))]
     rows += [(320, "t", "src/z.ts", 9, 9, code(501) + "\n// Vendored from lib 2.0\n")]
-    rows += [(400, "w", "src/h0.ts", 50, 5, code(0)), (401, "w", "n.ts", 1, 1, None), (402, "w", "e.ts", 0, 0, "\n"), (403, "w", "src/own.ts", 9, 9, code(502) + 'const BANNER = "// Code generated by x. DO NOT EDIT.";\n// not generated: edit this file freely, it is kept by hand\n'), (404, "w", "t.ts", 9, 9, code(503) + "const T = [1, 2, 3, 4, 5, 6, 7, 8];\n")]
+    rows += [(400, "w", "src/h0.ts", 50, 5, code(0)), (401, "w", "n.ts", 1, 1, None), (402, "w", "e.ts", 0, 0, "\n"), (403, "w", "src/own.ts", 9, 9, code(502) + 'const BANNER = "// Code generated by x. DO NOT EDIT.";\n// not generated: edit this file freely, it is kept by hand\n'), (404, "w", "t.ts", 50, 5, code(503) + "const T = [1, 2, 3, 4, 5, 6, 7, 8];\n")]
     df = spark.createDataFrame(rows, "file_id bigint, workspace string, file string, lines int, symbols int, content string")
     got = {r.file_id: (r.kind, r.noticed) for r in H.judged(df).where("kind is not null").collect()}
     want = {100 + i: ("generated", True) for i in range(25)} | {200: ("generated", False), 220: ("data", False), 320: ("vendored", True)} | {210 + i: ("data", False) for i in range(6)}
