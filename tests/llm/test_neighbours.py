@@ -46,3 +46,39 @@ def test_copies_ties_and_unusable_vectors(spark):
     assert sorted(got[9]) == [(0.0, 1), (0.0, 2), (0.0, 3)] and sorted(got[1]) == [(0.0, 2), (0.0, 3), (0.0, 5)] and sorted(got[20]) == [(1.0, 1), (1.0, 2), (1.0, 3)]
     assert all(r.label_a < r.label_b for r in N.found(frame(spark, rows), 3, 2).collect())
     assert N.found(frame(spark, []), 3, 2).count() == 0 and N.found(frame(spark, [(1, same)]), 3, 2).count() == 0
+
+
+def test_level_by_level_is_the_priority_queue():
+    import heapq
+
+    rng = np.random.default_rng(5)
+    sample = N._unit(rng.normal(size=(600, 6)))
+    forest = N.Forest(sample, 5, 20)
+    found, cost = forest.best(sample.astype(np.float32), 12)
+    for i in range(0, 600, 7):
+        queue, got = [(0.0, root) for root in forest.roots], []
+        heapq.heapify(queue)
+        while queue and len(got) < 12:
+            p, node = heapq.heappop(queue)
+            if node < 0:
+                got.append((p, -1 - node))
+                continue
+            m = float(forest.normals[node] @ sample[i].astype(np.float32) - forest.offsets[node])
+            low, high = forest.kids[node]
+            heapq.heappush(queue, (max(p, m), low))
+            heapq.heappush(queue, (max(p, -m), high))
+        assert np.allclose([p for p, _ in got], cost[i][:12], atol=1e-5)
+        assert {x for p, x in got if p < got[-1][0] - 1e-5} <= set(found[i][:12].tolist())
+        assert (cost[i] == 0).sum() == 5
+
+
+def test_blocks_of_queries_and_hot_classes(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    same = np.float32(rng.normal(size=4)).tolist()
+    rows = [(i, same if i % 3 == 0 else np.float32(rng.normal(size=4)).tolist()) for i in range(240)]
+    df, want = frame(spark, rows), brute(rows, 5)
+    monkeypatch.setattr(N, "ASKED", 7)
+    assert {(r.label, r.other) for r in N.exact(df, 5, 4, every=8).collect()} == {p for p in want if p[0] % 8 == 0}
+    for hot in (2, 2000):
+        monkeypatch.setattr(N, "HOT", hot)
+        assert {(r.label, r.other) for r in N.neighbours(df, 5, 4).collect()} == want
