@@ -2,7 +2,8 @@
 
 Python is read by its own parser where it parses; the other languages (and broken Python) by line patterns with
 balanced ends, which approximate a grammar: nested functions in expressions are not listed. Methods are qualified
-by their class in every language. Arrow batches in, rows out; null and blank content gives none.
+by their class in every language. Arrow batches in, rows out; null and blank content gives none. The columns named in
+``keep`` (workspace, file_id and the like) go along with every row, so equal paths of two workspaces stay apart.
 """
 
 from __future__ import annotations
@@ -11,13 +12,15 @@ import ast
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.paths import language
 
-SYMBOLS = "file string, name string, kind string, start_line int, end_line int, signature string, exported boolean"
+SYMBOLS = "file string, name string, kind string, start_line int, end_line int, signature string, exported boolean, docs string"
 IMPORTS = "file string, source string, names string, line int, is_relative boolean"
 REFS = "file string, ref string"
 
@@ -67,7 +70,7 @@ def _python(text: str) -> Iterator[tuple] | None:
         for x in ast.iter_child_nodes(node):
             if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
                 kind = "class" if isinstance(x, ast.ClassDef) else "method" if scope else "function"
-                out.append((scope + x.name, kind, x.lineno, x.end_lineno, lines[x.lineno - 1].strip().rstrip(":"), not x.name.startswith("_")))
+                out.append((scope + x.name, kind, x.lineno, x.end_lineno, lines[x.lineno - 1].strip().rstrip(":"), not x.name.startswith("_"), " ".join((ast.get_docstring(x) or "").split()) or None))
                 if kind == "class":
                     work.append((x, scope + x.name + "."))
             elif not scope and isinstance(x, ast.Assign) and isinstance(node, ast.Module):
@@ -75,9 +78,56 @@ def _python(text: str) -> Iterator[tuple] | None:
     return iter(sorted(out, key=lambda r: (r[2], r[0])))
 
 
+_MARKS = re.compile(r"^(?:/\*+!?|///?!?|#+|\*+(?!/))\s?|\s*\*+/\s*$")
+_BETWEEN = re.compile(r"\s*(?:@\w|#!?\[|\Z)")
+
+
+def docs_above(lines: list[str], row: int) -> str | None:
+    """The comment above a declaration, blank lines, decorators and attributes between; its marks taken off, on one line."""
+    at = row - 1
+    while at >= 0 and _BETWEEN.match(lines[at]):
+        at -= 1
+    if at < 0:
+        return None
+    last = lines[at].strip()
+    first = at
+    if last.endswith("*/"):
+        while first and "/*" not in lines[first]:
+            first -= 1
+        if not lines[first].lstrip().startswith("/*"):
+            return None
+    elif last.startswith(("//", "#")):
+        while first and lines[first - 1].strip().startswith(("//", "#")) and not _BETWEEN.match(lines[first - 1]):
+            first -= 1
+    else:
+        return None
+    said = (_MARKS.sub("", _MARKS.sub("", x.strip())).strip() for x in lines[first:at + 1])
+    return " ".join(x for x in said if x) or None
+
+
+def signature_at(lines: list[str], row: int, kind: str, python: bool = False) -> str:
+    """The header of a declaration up to its body: of functions and methods over up to five lines."""
+    text = lines[row].strip()
+    if kind in ("function", "method"):
+        for more in lines[row + 1:row + 5]:
+            if (text.count("(") <= text.count(")") and text.endswith(":")) if python else ("{" in text or "=>" in text or text.endswith(";")):
+                break
+            text += " " + more.strip()
+    if python:
+        return text.rstrip(":").rstrip()
+    return text.partition("{")[0].strip() or text
+
+
 def symbols_of(lang: str, text: str) -> Iterator[tuple]:
-    """(name, kind, start, end, signature, exported) of a source text."""
+    """(name, kind, start, end, signature, exported, docs) of a source text."""
     text = text.replace("\r\n", "\n").replace("\r", "\n")
+    lines = text.split("\n")
+    for name, kind, start, end, _, exported, *said in _symbols(lang, text):
+        yield name, kind, start, end, signature_at(lines, start - 1, kind, lang == "python"), exported, docs_above(lines, start - 1) or (said[0] if said else None)
+
+
+def _symbols(lang: str, text: str) -> Iterator[tuple]:
+    """(name, kind, start, end, header, exported, docstring of Python)."""
     family = FAMILY.get(lang)
     if family is None:
         return
@@ -148,31 +198,37 @@ def refs_of(text: str) -> list[str]:
     return sorted({m for m in _TYPE_CONTEXT.findall(plain) if m not in BUILT_IN})
 
 
-def _table(files: DataFrame, schema: str, of) -> DataFrame:
-    columns = [x.split()[0] for x in schema.split(", ")]
+def _table(files: DataFrame, schema: str, of, keep: tuple = ()) -> DataFrame:
+    """Rows (keep, file, ...) of a reader over files."""
+    kinds = dict(files.dtypes)
+    names = [*keep, *(x.split()[0] for x in schema.split(", "))]
+    whole = ", ".join([f"`{k}` {kinds[k]}" for k in keep] + [schema])
+    arrow = to_arrow_schema(StructType.fromDDL(whole))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(f, *r) for f, k, c in zip(pdf["file"], pdf["lang"], pdf["content"]) if c and k for r in of(k, c)]
-            yield pd.DataFrame(rows, columns=columns)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = [c.to_pylist() for c in batch.columns]
+            rows = [(*kept, f, *r) for f, k, c, *kept in zip(*cols) if c and k for r in of(k, c)]
+            made = list(zip(*rows)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(made, arrow)], names=names)
 
-    return files.select("file", language(F.col("file")).alias("lang"), "content").mapInPandas(run, schema)
+    return files.select("file", language(F.col("file")).alias("lang"), "content", *keep).mapInArrow(run, whole)
 
 
-def symbols(files: DataFrame) -> DataFrame:
-    return _table(files, SYMBOLS, symbols_of)
+def symbols(files: DataFrame, keep: tuple = ()) -> DataFrame:
+    return _table(files, SYMBOLS, symbols_of, keep)
 
 
-def imports(files: DataFrame) -> DataFrame:
-    return _table(files, IMPORTS, imports_of)
+def imports(files: DataFrame, keep: tuple = ()) -> DataFrame:
+    return _table(files, IMPORTS, imports_of, keep)
 
 
-def exports(files: DataFrame) -> DataFrame:
-    return symbols(files).where("exported and name not like '%.%'").select("file", "name", "kind", F.col("start_line").alias("line"))
+def exports(files: DataFrame, keep: tuple = ()) -> DataFrame:
+    return symbols(files, keep).where("exported and name not like '%.%'").select(*keep, "file", "name", "kind", F.col("start_line").alias("line"))
 
 
-def type_references(files: DataFrame) -> DataFrame:
-    return _table(files, REFS, lambda _, c: [(r,) for r in refs_of(c)])
+def type_references(files: DataFrame, keep: tuple = ()) -> DataFrame:
+    return _table(files, REFS, lambda _, c: [(r,) for r in refs_of(c)], keep)
 
 
 def resolve_imports(found: DataFrame, known: DataFrame, key: list[str]) -> DataFrame:
@@ -188,3 +244,36 @@ def resolve_imports(found: DataFrame, known: DataFrame, key: list[str]) -> DataF
     spread = rows.select(*key, "file", "source", "line", F.posexplode(import_candidates(F.col("target"))).alias("_p", "path"))
     met = spread.join(known.select(*key, "path").distinct(), [*key, "path"])
     return met.groupBy(*key, "file", "source", "line").agg(F.min_by("path", "_p").alias("resolved"))
+
+
+def resolve_aliases(found: DataFrame, aliases: DataFrame, known: DataFrame, key: list[str]) -> DataFrame:
+    """Imports that an alias pattern (one * at most) maps to a known file: first pattern, then first target, then first candidate.
+
+    found: key, file, source, line; aliases: key, ordinal, pattern, targets (with * for what the pattern's * took, below
+    the base directory ``base``); known: key, path. Without a pattern that fits, the base directory itself is tried.
+    """
+    from ..functions.paths import fold_dots, import_candidates
+
+    rows = found.where("not is_relative").select(*key, "file", "source", "line")
+    head, tail = F.substring_index("pattern", "*", 1), F.substring_index("pattern", "*", -1)
+    starred = F.contains("pattern", F.lit("*"))
+    fits = F.when(starred, F.startswith("source", head) & F.endswith("source", tail) & (F.length("source") >= F.length("pattern") - 1)).otherwise(F.col("source") == F.col("pattern"))
+    met = rows.join(aliases, key).where(fits)
+    taken = F.when(starred, F.substr("source", F.length(head) + 1, F.length("source") - F.length("pattern") + 1)).otherwise(F.lit(""))
+    mapped = met.select(*key, "file", "source", "line", "ordinal", F.coalesce("base", F.lit("")).alias("base"), taken.alias("_star"), F.posexplode("targets").alias("_t", "target"))
+    mapped = mapped.withColumn("target", F.replace("target", F.lit("*"), F.col("_star"))).drop("_star")
+    bare = rows.join(aliases.select(*key, "base").where("base is not null").distinct(), key).select(*key, "file", "source", "line", F.lit(2_000_000_000).alias("ordinal"), "base", F.lit(0).alias("_t"), F.col("source").alias("target"))
+    paths = mapped.unionByName(bare).withColumn("target", fold_dots(F.concat_ws("/", "base", "target")))
+    tried = paths.select(*key, "file", "source", "line", "ordinal", "_t", F.posexplode(import_candidates(F.col("target"))).alias("_p", "path"))
+    hit = tried.join(known.select(*key, "path").distinct(), [*key, "path"])
+    return hit.groupBy(*key, "file", "source", "line").agg(F.min_by("path", F.struct("ordinal", "_t", "_p")).alias("resolved"))
+
+
+def resolve_modules(found: DataFrame, known: DataFrame, key: list[str], roots: tuple = ("", "src")) -> DataFrame:
+    """Absolute Python imports (a.b) with the file they mean: a/b.py, then a/b/__init__.py, below each root in turn."""
+    rows = found.where(F.col("file").endswith(".py") & ~F.col("is_relative"))
+    path = F.replace("source", F.lit("."), F.lit("/"))
+    made = F.array(*[F.concat(F.lit(r + "/" if r else ""), path, F.lit(end)) for r in roots for end in (".py", "/__init__.py")])
+    tried = rows.select(*key, "file", "source", "line", F.posexplode(made).alias("_p", "path"))
+    hit = tried.join(known.select(*key, "path").distinct(), [*key, "path"])
+    return hit.groupBy(*key, "file", "source", "line").agg(F.min_by("path", "_p").alias("resolved"))

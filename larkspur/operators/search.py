@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from .joins import first_interval, interval_join
+from .joins import asof_backward, first_interval, interval_join
 
 
 BLOCK = 1000
@@ -75,9 +75,10 @@ def text_search(hits: DataFrame, symbols: DataFrame, keys: list[str], limit: int
     hit = hits.select(*point, "line").distinct()
     inside = first_interval(interval_join(hit, symbols.select(*keys, "name", "start_line", "end_line"), keys, "line_no", "start_line", "end_line", cell), point, "start_line", ["name"])
     rest = hit.join(inside.select(*point), point, "left_anti")
-    above = rest.join(symbols.select(*keys, F.col("name").alias("_n"), F.col("start_line").alias("_s")), keys).where(F.col("_s") <= F.col("line_no"))
-    nearest = above.groupBy(*point).agg(F.max_by("_n", F.struct("_s", "_n")).alias("name"))
-    named = inside.select(*point, "line", "name").unionByName(rest.join(nearest, point, "left").select(*point, "line", "name"))
+    # the last symbol that starts at or above the line, by blocks of lines: no line meets all symbols of its file
+    starts = symbols.select(F.struct(*keys).alias("_key"), F.col("start_line").alias("line_no"), "name")
+    above = asof_backward(rest.withColumn("_key", F.struct(*keys)), starts.withColumn("line", F.col("name")), "_key", "line_no", "line", ["name"], cell)
+    named = inside.select(*point, "line", "name").unionByName(above.select(*point, "line", "name"))
     label = F.coalesce("name", F.concat(F.lit("line "), F.col("line_no").cast("string")))
     first = Window.partitionBy(*keys, label).orderBy("line_no")
     out = named.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k").withColumn("score", F.lit(1.0))
@@ -91,3 +92,24 @@ def did_you_mean(names: DataFrame, column: str, asked: str, n: int = 3) -> DataF
 
 def page(rows: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
     return rows.orderBy(*order).offset(offset).limit(limit)
+
+
+_DECLARES = r"\b(?:class|interface|enum|type|function|def|func|fn|struct|trait|const|let|var)\s+\*?([A-Za-z_$][\w$]*)"
+
+
+def drift_lookup(wanted: DataFrame, lines: DataFrame, keys: list[str], ident: str, near: int = 20) -> DataFrame:
+    """Where a name stands now that was recorded at a line: (keys, ident, name, line_no, tier).
+
+    Tiers: 0 the recorded line names it, 1 the nearest line within ``near`` that declares it, 2 the first line of the
+    file that declares it, 3 the nearest line that names it. Names of lines are exploded and joined by equality, never
+    searched pair by pair. wanted: keys, ident, name (an identifier), start_line; lines: keys, line_no, line. Names
+    without any line give no row; ties go to the smaller line.
+    """
+    named = lines.select(*keys, "line_no", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(r"([A-Za-z_$][\w$]*)"), 1))).alias("name"))
+    declared = lines.select(*keys, "line_no", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(_DECLARES), 1))).alias("name")).withColumn("_declares", F.lit(True))
+    places = named.join(declared, [*keys, "line_no", "name"], "left")
+    met = wanted.select(*keys, ident, "name", "start_line").join(places, [*keys, "name"])
+    away = F.abs(F.col("line_no") - F.col("start_line"))
+    tier = F.when(away == 0, 0).when(F.col("_declares") & (away <= near), 1).when(F.col("_declares"), 2).otherwise(3)
+    order = F.struct(tier.alias("tier"), F.when(tier == 2, 0).otherwise(away).alias("away"), F.col("line_no"))
+    return met.groupBy(*keys, ident, "name").agg(F.min(order).alias("_m")).select(*keys, ident, "name", F.col("_m.line_no").alias("line_no"), F.col("_m.tier").alias("tier"))

@@ -5,10 +5,6 @@ from __future__ import annotations
 from . import plansql
 
 _KNN = """
-    SELECT e.vec_id, round(1 - (1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])) / 2, 3) AS score
-    FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.vec_id <> 0 {scope}
-    ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, vec_id LIMIT 10"""
-_KNN_ALL = """
     SELECT q.vec_id AS q_id, e.vec_id, round(1 - (1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])) / 2, 3) AS score
     FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0) q WHERE e.vec_id <> q.vec_id {scope}
     QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) <= 10"""
@@ -31,9 +27,7 @@ _LANGUAGE = "CASE lower(regexp_extract(file, '\\.([^./]+)$', 1)) WHEN 'ts' THEN
 
 SQL: dict[str, str] = {
     "knn_topk": _KNN.format(scope=""),
-    "knn_scoped": _KNN.format(scope="AND label = 3"),
-    "knn_topk_all": _KNN_ALL.format(scope=""),
-    "knn_scoped_all": _KNN_ALL.format(scope="AND e.label = 3"),
+    "knn_scoped": _KNN.format(scope="AND e.label = 3"),
     "grep_content": f"SELECT doc_id, line_no, line FROM {_DOC_LINES} WHERE regexp_matches(line, '(?i)the')",
     "grep_files": f"SELECT DISTINCT doc_id FROM {_DOC_LINES} WHERE contains(line, 'lease')",
     "grep_count": f"SELECT doc_id, count(*) AS matches FROM {_DOC_LINES} WHERE regexp_matches(line, '(?i)the') GROUP BY doc_id",
@@ -60,9 +54,7 @@ SQL: dict[str, str] = {
     "first_candidate": """WITH k AS (SELECT p_type AS target FROM part WHERE p_size > 45 UNION SELECT p_brand FROM part WHERE p_size > 40),
         c AS (SELECT p_partkey, p_type AS target, 0 AS candidate FROM part UNION ALL SELECT p_partkey, p_brand, 1 FROM part)
         SELECT p_partkey, target, candidate FROM c SEMI JOIN k USING (target) QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY candidate, target) = 1""",
-    "ref_left_join": """WITH w AS (SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part), k AS (SELECT DISTINCT string_split(p_name, ' ')[1] AS word FROM part)
-        SELECT p_partkey, CASE WHEN k.word IS NULL THEN w.word || ' (unresolved)' ELSE w.word END AS word FROM w LEFT JOIN k ON w.word = k.word""",
-    "ref_left_join_documents": """WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(text, '[^A-Za-z0-9_]+')) AS word FROM documents), k AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part)
+    "ref_left_join": """WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(text, '[^A-Za-z0-9_]+')) AS word FROM documents), k AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part)
         SELECT doc_id, CASE WHEN k.word IS NULL THEN w.word || ' (unresolved)' ELSE w.word END AS word FROM w LEFT JOIN k ON w.word = k.word WHERE w.word <> ''""",
     "outline_tree": "SELECT r_regionkey, r_name, coalesce(string_agg(n_name, ', ' ORDER BY n_name), '') AS nations, count(n_name) AS n_nations FROM region LEFT JOIN nation ON r_regionkey = n_regionkey GROUP BY ALL",
     "enclosing_symbol": f"""WITH {_OUT}, c AS (SELECT * FROM o WHERE file_id IS NOT NULL AND start_line IS NOT NULL AND end_line IS NOT NULL),
@@ -71,7 +63,6 @@ SQL: dict[str, str] = {
         SELECT c.symbol_id, parent_id FROM c LEFT JOIN q USING (symbol_id)""",
     "anti_embed": f"WITH {_IDS} SELECT id FROM ids WHERE id NOT IN (SELECT id FROM symbol_vectors WHERE id IS NOT NULL)",
     "live_vectors": f"WITH {_IDS} SELECT DISTINCT label, id FROM symbol_vectors WHERE id IN (SELECT id FROM ids)",
-    "typeref_edges": "SELECT DISTINCT a.n_name AS src, b.n_name AS dst FROM nation a JOIN nation b ON substr(a.n_name, 1, 1) = substr(b.n_name, 1, 1) WHERE a.n_name <> b.n_name",
     "in_degree": f"WITH {_DEGREE} SELECT file, in_degree FROM d",
     "file_rank": f"""WITH {_DEGREE}, s AS (SELECT file, (in_degree + CASE WHEN p_size > 40 THEN 5.0::DOUBLE ELSE 0 END) * CASE WHEN p_size < 10 THEN 0.3::DOUBLE ELSE 1 END AS score FROM d)
         SELECT file, round(CASE WHEN max(score) OVER () > 0 THEN score / max(score) OVER () ELSE 0 END, 6) AS rank FROM s""",
@@ -100,8 +91,7 @@ SQL: dict[str, str] = {
         SELECT doc_id, running FROM r WHERE running <= 20000""",
     "top_files": "SELECT file_id, round(coalesce(rank, 0), 6) AS rank FROM source_files ORDER BY coalesce(rank, 0) DESC, file_id LIMIT (SELECT CASE WHEN count(*) <= 100 THEN count(*) WHEN count(*) <= 500 THEN 200 WHEN count(*) <= 2000 THEN 100 ELSE 50 END FROM source_files)",
     "siblings": f"WITH {_OUT} SELECT symbol_id, lag(name) OVER w AS previous, lead(name) OVER w AS following FROM o WINDOW w AS (PARTITION BY file_id ORDER BY start_line NULLS FIRST, symbol_id)",
-    "did_you_mean": "SELECT n_name FROM nation WHERE contains(lower(n_name), 'nation_1') OR contains('nation_1', lower(n_name)) ORDER BY length(n_name), n_name LIMIT 3",
-    "did_you_mean_symbols": "SELECT DISTINCT name FROM outline_symbols WHERE contains(lower(name), 'shard') OR contains('shard', lower(name)) ORDER BY length(name), name LIMIT 3",
+    "did_you_mean": "SELECT DISTINCT name FROM outline_symbols WHERE contains(lower(name), 'shard') OR contains('shard', lower(name)) ORDER BY length(name), name LIMIT 3",
     "diag_query": f"WITH {_DIAG} SELECT event_id, severity, file FROM g WHERE severity <= 2 ORDER BY severity, file, line LIMIT 50",
     "diag_summary": f"WITH {_DIAG} SELECT {_COUNTS} FROM g",
     "diag_by_group": f"WITH {_DIAG} SELECT coalesce(root, '(unknown)') AS root, {_COUNTS} FROM g GROUP BY 1",
@@ -119,8 +109,6 @@ SQL: dict[str, str] = {
         FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""",
     "snippet3": "SELECT doc_id, array_to_string(string_split(text, chr(10))[1:3], chr(10)) || CASE WHEN len(string_split(text, chr(10))) > 3 THEN chr(10) || '...' ELSE '' END AS snippet FROM documents WHERE text IS NOT NULL",
     "sliding_block_match": f"""WITH b AS (SELECT doc_id, trim(line, ' ') || chr(10) || lead(trim(line, ' ')) OVER (PARTITION BY doc_id ORDER BY line_no) AS block FROM {_DOC_LINES})
-        SELECT block, count(*) AS places, count(DISTINCT doc_id) AS documents FROM b WHERE length(block) > 40 GROUP BY block HAVING count(*) > 1""",
-    "sliding_block_match_all": f"""WITH b AS (SELECT doc_id, trim(line, ' ') || chr(10) || lead(trim(line, ' ')) OVER (PARTITION BY doc_id ORDER BY line_no) AS block FROM {_DOC_LINES})
         SELECT block, count(*) AS places, count(DISTINCT doc_id) AS documents FROM b WHERE block IS NOT NULL GROUP BY block HAVING count(*) > 1""",
     "fuzzy_levenshtein": "SELECT a.p_brand, a.p_partkey AS a, b.p_partkey AS b, levenshtein(a.p_name, b.p_name) AS distance FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey WHERE levenshtein(a.p_name, b.p_name) <= 3",
     "json_props": "SELECT event_id, json_extract_string(props, '$.k')::INT AS k FROM events",
@@ -130,8 +118,7 @@ SQL: dict[str, str] = {
     "set_operations": """SELECT 'union' AS op, k FROM (SELECT s_nationkey AS k FROM supplier UNION SELECT c_nationkey FROM customer) UNION ALL
         SELECT 'except', k FROM (SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier) UNION ALL
         SELECT 'intersect', k FROM (SELECT s_nationkey AS k FROM supplier INTERSECT SELECT c_nationkey FROM customer)""",
-    "file_page": f"SELECT file_id, line_no, line FROM {_CODE_LINES} WHERE file_id = 1 AND line_no BETWEEN 3 AND 12",
-    "file_page_all": f"SELECT file_id, line_no, line FROM {_CODE_LINES} WHERE line_no BETWEEN 3 AND 12",
+    "file_page": f"SELECT file_id, line_no, line FROM {_CODE_LINES} WHERE line_no BETWEEN 3 AND 12",
     "glob_files": "SELECT file_id, file FROM source_files WHERE regexp_matches(file, '^src/(?:[^/]+/)*[^/]*\\.(?:ts|py)$')",
     "grep_context": f"""WITH l AS (SELECT file_id, line_no, line FROM {_CODE_LINES}), h AS (SELECT file_id, line_no FROM l WHERE regexp_matches(line, 'except|catch')),
         w AS (SELECT DISTINCT file_id, line_no + o AS line_no FROM h, (SELECT unnest([-2, -1, 0, 1, 2]) AS o))
@@ -158,4 +145,19 @@ SQL: dict[str, str] = {
         SELECT path, CASE WHEN contains(path, '/') THEN regexp_extract(path, '^(.*)/[^/]*$', 1) ELSE '' END AS parent, is_dir, coalesce(c, 0) AS children FROM p LEFT JOIN n ON n.parent = p.path WHERE len(string_split(path, '/')) <= 2""",
 }
 
-SQL |= plansql.SQL
+_DECLARED = r"\b(?:class|interface|enum|type|function|def|func|fn|struct|trait|const|let|var)\s+\*?([A-Za-z_$][\w$]*)"
+SQL |= plansql.SQL | {
+    "drift_lookup": f"""WITH o AS (SELECT DISTINCT ON (symbol_id) symbol_id, file_id, name, start_line FROM outline_symbols WHERE regexp_full_match(name, '[A-Za-z_$][\\w$]*') AND start_line IS NOT NULL),
+        l AS (SELECT file_id, line_no, line FROM {_CODE_LINES}),
+        m AS (SELECT symbol_id, start_line, line_no, abs(line_no - start_line) AS away, list_contains(regexp_extract_all(line, '{_DECLARED}', 1), name) AS declares
+          FROM o JOIN l ON o.file_id = l.file_id AND list_contains(regexp_extract_all(line, '[A-Za-z_$][\\w$]*'), name)),
+        t AS (SELECT *, CASE WHEN away = 0 THEN 0 WHEN declares AND away <= 20 THEN 1 WHEN declares THEN 2 ELSE 3 END AS tier FROM m)
+        SELECT symbol_id, line_no, tier FROM t QUALIFY row_number() OVER (PARTITION BY symbol_id ORDER BY tier, CASE WHEN tier = 2 THEN 0 ELSE away END, line_no) = 1""",
+    "diffstat_lines": f"""WITH x AS (SELECT doc_id, line_no, regexp_extract(line, '^ (\\S[^|]*\\S|\\S) +\\| +(\\d+) (\\+*)(-*)$', ['path', 'changed', 'plus', 'minus']) AS r FROM {_DOC_LINES}
+        WHERE regexp_matches(line, '^ (\\S[^|]*\\S|\\S) +\\| +(\\d+) (\\+*)(-*)$'))
+        SELECT doc_id, line_no, r.path AS path, CAST(r.changed AS INT) AS changed, length(r.plus) AS plus, length(r.minus) AS minus FROM x""",
+    "run_statuses": f"""WITH x AS (SELECT doc_id, regexp_extract(line, '^(PASS|FAIL|SKIP) (\\S+) > (.+)$', ['status', 'file', 'test']) AS r FROM {_DOC_LINES} WHERE regexp_matches(line, '^(PASS|FAIL|SKIP) (\\S+) > (.+)$'))
+        SELECT doc_id, r.status AS status, count(*) AS tests, count(DISTINCT r.file) AS files FROM x GROUP BY ALL""",
+    "log_levels": f"""WITH x AS (SELECT doc_id, string_split(line, ' ') AS w FROM {_DOC_LINES} WHERE regexp_matches(line, '^\\d{{4}}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\dZ (DEBUG|INFO|WARN|ERROR) '))
+        SELECT doc_id, w[2] AS level, count(*) AS n, min(w[1]) AS first FROM x GROUP BY ALL""",
+}

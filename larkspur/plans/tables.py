@@ -18,12 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage by a reliable checkpoint in the shared folder of ``spark.checkpoint.dir``.
 
-    Only where the session names no folder (local tests) one is made here.
+    Only a local session that names no folder gets one here; on a cluster a folder of one machine would lose the data
+    with that machine, so there it is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "larkspur-checkpoints"))
     return df.checkpoint(eager)
 

@@ -32,24 +32,12 @@ def _asked(rows: DataFrame, which: str) -> DataFrame:
 
 
 def knn_topk(s, d):
-    """The ten nearest vectors to vector 0; its SQL asks for this one only."""
-    rows = table(s, d, "embeddings")
-    return search.knn(rows, _asked(rows, "vec_id = 0"), "vec_id", "embedding", 10).select("vec_id", "score")
-
-
-def knn_scoped(s, d):
-    """The ten nearest of label 3 to vector 0; its SQL asks for this one only."""
-    rows = table(s, d, "embeddings")
-    return search.knn(rows, _asked(rows, "vec_id = 0"), "vec_id", "embedding", 10, F.col("label") == 3).select("vec_id", "score")
-
-
-def knn_topk_all(s, d):
     """The ten nearest vectors to every vector whose id is divisible by 50."""
     rows = table(s, d, "embeddings")
     return search.knn(rows, _asked(rows, "vec_id % 50 = 0"), "vec_id", "embedding", 10).select("q_id", "vec_id", "score")
 
 
-def knn_scoped_all(s, d):
+def knn_scoped(s, d):
     """The ten nearest of label 3 to every vector whose id is divisible by 50."""
     rows = table(s, d, "embeddings")
     return search.knn(rows, _asked(rows, "vec_id % 50 = 0"), "vec_id", "embedding", 10, F.col("label") == 3).select("q_id", "vec_id", "score")
@@ -132,14 +120,6 @@ def first_candidate(s, d):
 
 
 def ref_left_join(s, d):
-    """Words of part names against their first words, the unresolved kept, as its SQL has it."""
-    p = table(s, d, "part")
-    refs = p.select("p_partkey", F.explode(F.split("p_name", " ")).alias("word")).distinct()
-    known = p.select(F.split("p_name", " ")[0].alias("word")).distinct()
-    return joins.unresolved_left(refs, known, ["word"], "word").select("p_partkey", "word")
-
-
-def ref_left_join_documents(s, d):
     """Words of documents against the words of part names, the unresolved kept."""
     refs = table(s, d, "documents").select("doc_id", F.explode(F.split("text", "[^A-Za-z0-9_]+")).alias("word")).where("word <> ''").distinct()
     known = table(s, d, "part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
@@ -182,17 +162,11 @@ def _parts(s, d):
 
 
 def typeref_edges(s, d):
-    """Nations that share a first letter, as its SQL has it."""
-    refs = table(s, d, "nation").select(F.col("n_name").alias("file"), F.substring("n_name", 1, 1).alias("name"))
-    return graph.reference_edges(refs, refs)
-
-
-def typeref_edges_code(s, d):
     """Files linked by the type names they refer to, each to every file of its workspace that defines the name."""
-    path = F.concat(F.coalesce("workspace", F.lit("")), F.lit("/"), "file")
-    files = table(s, d, "source_files").where("content is not null").select(path.alias("file"), "content")
-    key = lambda column: F.concat(F.substring_index("file", "/", 1), F.lit("::"), column).alias("name")
-    return graph.reference_edges(extract.type_references(files).select("file", key("ref")), extract.symbols(files).select("file", key("name")))
+    files = table(s, d, "source_files").where("content is not null").withColumn("workspace", F.coalesce("workspace", F.lit("")))
+    path, keep = F.concat("workspace", F.lit("/"), "file").alias("file"), ("workspace",)
+    key = lambda column: F.concat("workspace", F.lit("::"), column).alias("name")
+    return graph.reference_edges(extract.type_references(files, keep).select(path, key("ref")), extract.symbols(files, keep).select(path, key("name")))
 
 
 def in_degree(s, d):
@@ -281,10 +255,6 @@ def siblings(s, d):
 
 
 def did_you_mean(s, d):
-    return search.did_you_mean(table(s, d, "nation").select("n_name"), "n_name", "nation_1", 3)
-
-
-def did_you_mean_symbols(s, d):
     """The three shortest symbol names that hold or are held by a name asked for."""
     return search.did_you_mean(table(s, d, "outline_symbols").select("name").distinct(), "name", "shard", 3)
 
@@ -384,12 +354,6 @@ def _blocks(s, d):
 
 
 def sliding_block_match(s, d):
-    """Two-line blocks of over 40 characters of documents that stand in more than one place; its SQL has that limit."""
-    blocks = _blocks(s, d).where("length(block) > 40")
-    return blocks.groupBy("block").agg(F.count("*").alias("places"), F.countDistinct("doc_id").alias("documents")).where("places > 1")
-
-
-def sliding_block_match_all(s, d):
     """Two-line blocks of documents, of any length, that stand in more than one place."""
     return _blocks(s, d).groupBy("block").agg(F.count("*").alias("places"), F.countDistinct("doc_id").alias("documents")).where("places > 1")
 
@@ -415,13 +379,6 @@ def set_operations(s, d):
 
 
 def file_page(s, d):
-    lines = search.numbered_lines(table(s, d, "source_files").where("file_id = 1"), "content", ["file_id"])
-    from .sources.files import read_page
-
-    return read_page(lines, 3, 10).select("file_id", "line_no", "line")
-
-
-def file_page_all(s, d):
     """Lines 3 to 12 of every file."""
     from .sources.files import read_page
 
@@ -539,26 +496,58 @@ def p1_cancelled(s, d):
 
 
 def symbols_extract(s, d):
-    files = table(s, d, "source_files").select(F.col("file_id").cast("string").alias("id"), "file", "content")
-    return extract.symbols(files)
+    """Symbols of every file with signatures and docs, under the file's own id."""
+    return extract.symbols(table(s, d, "source_files"), ("workspace", "file_id"))
 
 
 def imports_extract(s, d):
-    return extract.imports(table(s, d, "source_files").select("file", "content"))
+    return extract.imports(table(s, d, "source_files"), ("workspace", "file_id"))
 
 
 def type_refs_extract(s, d):
-    return extract.type_references(table(s, d, "source_files").select("file", "content"))
+    return extract.type_references(table(s, d, "source_files"), ("workspace", "file_id"))
+
+
+def drift_lookup(s, d):
+    """Where each outline symbol's name stands in its file now, whatever line was recorded."""
+    o = table(s, d, "outline_symbols").select("symbol_id", "file_id", F.regexp_extract("name", r"^([A-Za-z_$][\w$]*)$", 1).alias("name"), "start_line").where("name <> '' and start_line is not null").dropDuplicates(["symbol_id"])
+    lines = search.numbered_lines(table(s, d, "source_files").where("content is not null"), "content", ["file_id"])
+    return search.drift_lookup(o, lines, ["file_id"], "symbol_id").select("symbol_id", "line_no", "tier")
+
+
+def _document_lines(s, d):
+    return search.numbered_lines(table(s, d, "documents").where("text is not null"), "text", ["doc_id"])
+
+
+def diffstat_lines(s, d):
+    """Lines of diff summaries that stand in documents."""
+    from .sources.git import diffstat
+
+    return diffstat(_document_lines(s, d)).select("doc_id", "line_no", "path", "changed", "plus", "minus")
+
+
+def run_statuses(s, d):
+    """Results of tests that stand in documents, counted per document and status."""
+    from .sources.testruns import status_lines
+
+    return status_lines(_document_lines(s, d)).groupBy("doc_id", "status").agg(F.count("*").alias("tests"), F.countDistinct("file").alias("files"))
+
+
+def log_levels(s, d):
+    """Log lines that stand in documents, counted per document and level, with the first time."""
+    from .sources.logs import leveled
+
+    return leveled(_document_lines(s, d)).groupBy("doc_id", "level").agg(F.count("*").alias("n"), F.min("at").alias("first"))
 
 
 def queries() -> dict:
     named = [
-        knn_topk, knn_scoped, knn_topk_all, knn_scoped_all, grep_content, grep_files, grep_count, grep_code_glob, text_search, interval_first, interval_innermost, asof_backward, longest_prefix, all_prefixes, first_candidate,
-        ref_left_join, ref_left_join_documents, outline_tree, enclosing_symbol, anti_embed, live_vectors, typeref_edges, typeref_edges_code, in_degree, file_rank, edge_count, graph_nodes, snapshot_diff, upsert_latest, newest_files, index_summary,
-        lang_stats, dir_summary, symbol_lookup, resolver, serialize_text, token_budget_prefix, top_files, siblings, did_you_mean, did_you_mean_symbols, diag_query, diag_summary, diag_by_group, diag_filtered_after_limit,
-        run_errors, dedup_thinning, debounce_session, tree_rollup, snippet3, sliding_block_match, sliding_block_match_all, fuzzy_levenshtein, json_props, text_scalars, set_operations, file_page, file_page_all, glob_files,
+        knn_topk, knn_scoped, grep_content, grep_files, grep_count, grep_code_glob, text_search, interval_first, interval_innermost, asof_backward, longest_prefix, all_prefixes, first_candidate,
+        ref_left_join, outline_tree, enclosing_symbol, anti_embed, live_vectors, typeref_edges, in_degree, file_rank, edge_count, graph_nodes, snapshot_diff, upsert_latest, newest_files, index_summary,
+        lang_stats, dir_summary, symbol_lookup, resolver, serialize_text, token_budget_prefix, top_files, siblings, did_you_mean, diag_query, diag_summary, diag_by_group, diag_filtered_after_limit,
+        run_errors, dedup_thinning, debounce_session, tree_rollup, snippet3, sliding_block_match, fuzzy_levenshtein, json_props, text_scalars, set_operations, file_page, glob_files,
         grep_context, nearest_hit, last_events, ignore_filter, language_map, class_outlines, member_dependencies, shorten_texts, log_summary, paged, maintained, directory_tree,
-        edited_files, text_embedding, p1_cancelled, symbols_extract, imports_extract, type_refs_extract, p1_entities, p1_progress, p1_promoted, p1_current, p1_pending_checkpoints, p1_context,
+        edited_files, text_embedding, p1_cancelled, symbols_extract, imports_extract, type_refs_extract, drift_lookup, diffstat_lines, run_statuses, log_levels, p1_entities, p1_progress, p1_promoted, p1_current, p1_pending_checkpoints, p1_context,
     ]
     return {"p1_found": lambda s, d: shred.plan_nodes(table(s, d, "plan_records"))} | {f.__name__: f for f in named}
 

@@ -60,3 +60,11 @@ def diff_files(raw: DataFrame, key: str = "id") -> DataFrame:
 
 def diff_totals(raw: DataFrame, key: str = "id") -> DataFrame:
     return diff_files(raw, key).groupBy(key).agg(F.count("*").alias("files"), F.sum("insertions").alias("insertions"), F.sum("deletions").alias("deletions"))
+
+
+def diffstat(lines: DataFrame) -> DataFrame:
+    """The lines of a diff summary, `` path | 12 ++--``, with the path, its changed lines and the shown signs."""
+    shape = r"^ (\S[^|]*\S|\S) +\| +(\d+) (\+*)(-*)$"
+    hit = lines.where(F.col("line").rlike(shape))
+    part = lambda n: F.regexp_extract("line", shape, n)
+    return hit.withColumns({"path": part(1), "changed": part(2).cast("int"), "plus": F.length(part(3)), "minus": F.length(part(4))})

@@ -76,3 +76,10 @@ def judge_command(command: Column) -> Column:
     for pattern, reason, blocked in reversed([r for r in ordered if r[2]]):
         out = F.when(command.rlike(pattern), verdict(reason, blocked)).otherwise(out)
     return out
+
+
+def leveled(lines: DataFrame) -> DataFrame:
+    """Log lines that begin with an ISO time and a level: at, level, message."""
+    shape = r"^(\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ) (DEBUG|INFO|WARN|ERROR) (.*)$"
+    part = lambda n: F.regexp_extract("line", shape, n)
+    return lines.where(F.col("line").rlike(shape)).withColumns({"at": part(1), "level": part(2), "message": part(3)})

@@ -123,3 +123,10 @@ def fallback_run(runs: DataFrame, key: str = "id") -> DataFrame:
     t = F.concat_ws("\n", "stdout", "stderr")
     one = lambda p: F.coalesce(F.regexp_extract(t, p, 1).try_cast("int"), F.lit(0))
     return runs.select(key, one(r"(?i)(\d+)\s+pass").alias("passed"), one(r"(?i)(\d+)\s+fail").alias("failed"), one(r"(?i)(\d+)\s+skip").alias("skipped"), F.substring(t, 1, 5000).alias("raw"))
+
+
+def status_lines(lines: DataFrame) -> DataFrame:
+    """Lines of a run that name a test's result first: ``PASS file > title``."""
+    shape = r"^(PASS|FAIL|SKIP) (\S+) > (.+)$"
+    part = lambda n: F.regexp_extract("line", shape, n)
+    return lines.where(F.col("line").rlike(shape)).withColumns({"status": part(1), "file": part(2), "test": part(3)})

@@ -49,9 +49,13 @@ def test_others_run(spark, name):
     if not os.path.isdir(DIR):
         pytest.skip("no test data")
     df = QUERIES[name](spark, DIR)
-    assert df.columns and df.count() >= 0
+    rows = df.collect()
+    if name == "typeref_edges":  # the smallest tables link no two files; test_whole_jobs has files that are linked
+        assert df.columns == ["src", "dst"] and not rows
+        return
+    assert rows and len(set(df.columns)) == len(df.columns) and any(v is not None for v in rows[0])
 
 
 def test_entry(spark):
     if os.path.isdir(DIR):
-        assert entry.entry(spark).count() == 10
+        assert entry.entry(spark).count() == 100

@@ -60,3 +60,36 @@ def test_extraction(spark):
     found = spark.createDataFrame([("w", "src/a.ts", "./b.js", 1, True), ("w", "src/a.ts", "zod", 2, False)], "ws string, file string, source string, line int, is_relative boolean")
     known = spark.createDataFrame([("w", "src/b.ts")], "ws string, path string")
     assert [r.resolved for r in extract.resolve_imports(found, known, ["ws"]).collect()] == ["src/b.ts"]
+
+
+def test_docs_and_signatures():
+    at = lambda lang, src: {r[0]: (r[4], r[6]) for r in extract.symbols_of(lang, src)}
+    ts = "/**\n * Loads it.\n * @param a x\n */\n\n@dec()\nexport function load(\n  a: string,\n): void {\n}\n// one\n// two\nconst f = (x) => x;\nlet y;\nexport class A {\n}\n"
+    assert at("typescript", ts) == {"load": ("export function load( a: string, ): void", "Loads it. @param a x"), "f": ("const f = (x) => x;", "one two"), "A": ("export class A", None)}
+    py = "# above\ndef f(\n    a,\n    b=1,\n):\n    return a\n\ndef g():\n    \"\"\"Says\n    more.\"\"\"\n"
+    assert at("python", py) == {"f": ("def f( a, b=1, )", "above"), "g": ("def g()", "Says more.")}
+    assert at("rust", "/// Adds.\n#[inline]\npub fn add(a: u8) -> u8 {\n a\n}\n")["add"] == ("pub fn add(a: u8) -> u8", "Adds.")
+    assert at("go", "x := 1\n\nfunc F() {\n}\n")["F"] == ("func F()", None)
+
+
+def test_key_columns_go_along(spark):
+    files = spark.createDataFrame([("v", 1, "a.ts", "export function f() {\n}\n"), ("w", None, "a.ts", "export function f() {\n}\n")], "workspace string, file_id bigint, file string, content string")
+    assert {(r.workspace, r.file_id, r.name) for r in extract.symbols(files, ("workspace", "file_id")).collect()} == {("v", 1, "f"), ("w", None, "f")}
+
+
+def test_aliases_and_modules(spark):
+    imports = "w string, file string, source string, line int, is_relative boolean"
+    found = spark.createDataFrame([("w", "x/a.ts", "@app/util/b", 1, False), ("w", "x/a.ts", "exact", 2, False), ("w", "x/a.ts", "lib/c", 3, False), ("w", "x/a.ts", "@app/none", 4, False), ("v", "x/a.ts", "@app/util/b", 1, False), ("w", "p.py", "a.b", 1, False), ("w", "p.py", "pkg", 2, False), ("w", "p.py", "os", 3, False)], imports)
+    aliases = spark.createDataFrame([("w", 0, "@app/*", ["gone/*", "src/*"], "."), ("w", 1, "exact", ["src/exact.ts"], "."), ("w", 2, "@app/util/*", ["other/*"], ".")], "w string, ordinal int, pattern string, targets array<string>, base string")
+    known = spark.createDataFrame([("w", "src/util/b.ts"), ("w", "other/b.ts"), ("w", "src/exact.ts"), ("w", "lib/c/index.ts"), ("w", "src/a/b.py"), ("w", "pkg/__init__.py")], "w string, path string")
+    assert {(r.source, r.resolved) for r in extract.resolve_aliases(found.where("file like '%.ts'"), aliases, known, ["w"]).collect()} == {("@app/util/b", "src/util/b.ts"), ("exact", "src/exact.ts"), ("lib/c", "lib/c/index.ts")}
+    assert {(r.source, r.resolved) for r in extract.resolve_modules(found, known, ["w"]).collect()} == {("a.b", "src/a/b.py"), ("pkg", "pkg/__init__.py")}
+
+
+def test_drift_lookup(spark):
+    from larkspur.operators import search
+
+    text = ["import { run } from 'x'", "", "run()", "", "export function run() {", "}", "const gone = 1"] + [""] * 40 + ["class Far {"]
+    lines = spark.createDataFrame([(1, i + 1, x) for i, x in enumerate(text)], "file_id bigint, line_no int, line string")
+    asked = spark.createDataFrame([(1, 1, "run", 5), (2, 1, "run", 2), (3, 1, "Far", 4), (4, 1, "x", 9), (5, 1, "nowhere", 1)], "symbol_id bigint, file_id bigint, name string, start_line int")
+    assert {(r.symbol_id, r.line_no, r.tier) for r in search.drift_lookup(asked, lines, ["file_id"], "symbol_id").collect()} == {(1, 5, 0), (2, 5, 1), (3, 48, 2), (4, 1, 3)}
