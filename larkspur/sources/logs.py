@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 
 def error_entries(logs: DataFrame, key: str = "id") -> DataFrame:
-    """(key, n, ts, tool, error, status, resolution) of the ``###`` blocks that have time, tool and error."""
+    """(key, n, ts, tool, error, status, resolution, source) of the ``###`` blocks that have time, tool and error.
+
+    The tool stands in a field of its own or in backticks, the first of the block; the source is auto or agent.
+    """
     blocks = logs.select(key, F.posexplode(F.split("content", r"(?m)^### ")).alias("n", "_b")).where("n > 0")
     field = lambda name: F.nullif(F.trim(F.regexp_extract("_b", rf"(?im)^[-*]?\s*\**{name}\**:\**\s*(.+)$", 1)), F.lit(""))
     ts = F.nullif(F.regexp_extract("_b", r"(\d{4}-\d\d-\d\d[T ]\d\d:\d\d(?::\d\d)?)", 1), F.lit(""))
-    rows = blocks.select(key, "n", F.try_to_timestamp(F.replace(ts, F.lit("T"), F.lit(" "))).alias("ts"), field("tool").alias("tool"), field("error").alias("error"), F.coalesce(field("status"), F.lit("unresolved")).alias("status"), field("resolution").alias("resolution"))
+    ticked = F.nullif(F.regexp_extract("_b", r"`([^`]+)`", 1), F.lit(""))
+    rows = blocks.select(key, "n", F.try_to_timestamp(F.replace(ts, F.lit("T"), F.lit(" "))).alias("ts"), F.coalesce(field("tool"), ticked).alias("tool"), field("error").alias("error"), F.coalesce(F.nullif(F.replace(field("status"), F.lit("`"), F.lit("")), F.lit("")), F.lit("unresolved")).alias("status"), field("resolution").alias("resolution"), F.when(F.contains(field("source"), F.lit("Auto")), "auto").otherwise("agent").alias("source"))
     return rows.where("ts is not null and tool is not null and error is not null")
 
 
@@ -52,6 +56,8 @@ def dotenv(texts: DataFrame, key: str = "id") -> DataFrame:
 
 #: ordered rules: (pattern, reason, blocked)
 COMMAND_RULES = [
+    (r"\brm\s+(?:-[a-zA-Z]+\s+)*/(?:[\s*]|$)", "deletes the root directory", True),
+    (r"\brm\s+(?:-[a-zA-Z]+\s+)*~(?:[/\s*]|$)", "deletes the home directory", True),
     (r"\brm\s+(?:-\w*[rf]\w*\s+)+(?:/|~|\$HOME)(?:\s|\*|$)", "removes a root or home directory", True),
     (r"\bmkfs(?:\.\w+)?\b", "formats a file system", True),
     (r"\bdd\b.*\bof=/dev/", "writes to a device", True),

@@ -68,3 +68,11 @@ def test_files(spark, tmp_path):
     assert ignored("a/x.log") and not ignored("keep.log") and ignored("build/x") and not ignored("a/build/x") and ignored("a/tmp/b")
     binary = lambda b: spark.createDataFrame([(bytearray(b),)], "c binary").select(files.is_binary(F.col("c"))).first()[0]
     assert binary(b"a\0b") and binary(b"\x01\x02\x03a") and not binary(b"plain\n\ttext") and not binary(b"")
+
+
+def test_error_log_with_ticks_and_bare_deletion(spark):
+    text = "# Log\n\n### 2025-01-02T03:04 — `grep`\n\n**Source:** Auto-captured\n**Status:** `resolved`\n\n**Error:** no such file\n\n### 2025-01-02T03:05 — `edit`\n**Error:** no match\n### broken\n"
+    rows = logs.error_entries(spark.createDataFrame([(1, text)], "id int, content string")).orderBy("n").collect()
+    assert [(r.tool, r.error, r.status, r.source) for r in rows] == [("grep", "no such file", "resolved", "auto"), ("edit", "no match", "unresolved", "agent")]
+    judge = lambda c: spark.range(1).select(logs.judge_command(F.lit(c))).first()[0].blocked
+    assert judge("rm /") and judge("rm -r -f /*") and judge("rm ~") and not judge("rm -rf /tmp/x/y.txt") and not judge("rm ./a")
