@@ -2,7 +2,9 @@
 
 One pattern per language captures the comment run, the signature and the balanced body together; strings,
 template literals, regex literals and comments are protected inside parameter lists and bodies by
-recursive sub-patterns. A body is read again wherever a comment is followed by what any head needs.
+recursive sub-patterns. A body is read again wherever a comment is followed by what any head needs. What has no
+braces (Python's blocks, arrows and closures of one expression) ends by indentation or with the expression.
+Overloads, abstract and interface methods of TypeScript and methods of Rust's traits count, without code.
 A capture without content is dropped (``content``).
 
 Defined results: a null or blank snippet and a file without a known extension give no rows; a cut snippet
@@ -37,18 +39,18 @@ _NOT_NAMES = r"(?!(?:if|for|while|switch|catch|return|function|with|do|else|type
 _HEADS = {
     "javascript": rf"""
         (?:export\s++)?+(?:default\s++)?+(?:declare\s++)?+
-        (?: (?:async\s++)?+function\b\s*+\*?+\s*+(?P<name>[\w$]++)\s*+(?&angle)?+\s*+(?&par)(?&ret)?+\s*+(?=\{{)
-          | (?:(?:const|let|var|public|private|protected|static|readonly|override)\s++)*+(?:[\w$]++\s*+\.\s*+)*+(?P<name>[\w$]++)\s*+(?:\??:\s*+[^=;{{}}\n]++)?(?:=(?![=>])|:(?=\s*+(?:async\b\s*+)?+(?:function\b|(?&par)\s*+=>)))\s*+
-            (?:async\b\s*+)?+(?:function\b\s*+\*?+\s*+[\w$]*+\s*+(?&angle)?+\s*+(?&par)(?&ret)?+\s*+(?=\{{) | (?:(?&angle)?+(?&par)(?:\s*+:\s*+(?:[^={{}}();]|(?&par))++)?+|[\w$]++)\s*+=>\s*+)
-          | (?:(?:public|private|protected|static|async|get|set|readonly|override|abstract)\s++(?=[\w$\#*\[]))*+\*?+\s*+{_NOT_NAMES}\#?+(?P<name>[\w$]++)\s*+\??+(?&angle)?+\s*+(?&par)(?&ret)?+\s*+(?=\{{) )
+        (?: (?:async\s++)?+function\b\s*+\*?+\s*+(?P<name>[\w$]++)\s*+(?&angle)?+\s*+(?&par)(?&ret)?+\s*+(?:(?&com)\s*+)*+(?=[{{;])
+          | (?:(?:const|let|var|public|private|protected|static|readonly|override)\s++)*+(?:[\w$]++\s*+\.\s*+)*+(?P<name>[\w$]++)\s*+(?:\??:\s*+(?:=>|\{{[^{{}}\n]*+\}}|[^=;{{}}\n])++)?(?:=(?![=>])|:(?=\s*+(?:async\b\s*+)?+(?:function\b|(?&par)\s*+=>)))\s*+
+            (?:async\b\s*+)?+(?:function\b\s*+\*?+\s*+[\w$]*+\s*+(?&angle)?+\s*+(?&par)(?&ret)?+\s*+(?:(?&com)\s*+)*+(?=\{{) | (?:(?&angle)?+(?&par)(?:\s*+:\s*+(?:[^={{}}();]|(?&par)|(?&brc))++)?+|[\w$]++)\s*+=>\s*+)
+          | (?:(?:public|private|protected|static|async|get|set|readonly|override|abstract)\s++(?=[\w$\#*\[]))*+\*?+\s*+{_NOT_NAMES}\#?+(?P<name>[\w$]++)\s*+\??+(?&angle)?+\s*+(?&par)(?:(?&ret)\s*+(?:(?&com)\s*+)*+(?=[{{;])|\s*+(?:(?&com)\s*+)*+(?=\{{)) )
     """,
     "go": r"""
-        (?: func\s*+(?:(?&par)\s*+)?+(?P<name>\w++)\s*+(?:\[[^\]]*+\])?+\s*+(?&par)[^{\n]*+
-          | (?:var\s++|const\s++)?+(?P<name>\w++)\s*+(?:func(?&par)[^={\n]*+)?+:?+=\s*+func\s*+(?&par)[^{\n]*+(?=\{) )
+        (?: func\s*+(?:(?&par)\s*+)?+(?P<name>\w++)\s*+(?&sq)?+\s*+(?&par)(?&res)
+          | (?:var\s++|const\s++)?+(?P<name>\w++)\s*+(?:func(?&par)[^={\n]*+)?+:?+=\s*+func\s*+(?&par)(?&res)(?=\{) )
     """,
     "rust": r"""
-        (?: (?:pub(?:\s*+\([^)]*+\))?+\s++)?+(?:(?:default|const|async|unsafe|extern(?:\s*+"[^"]*+")?+)\s++)*+fn\s++(?P<name>(?:r\#)?+\w++)\s*+(?&angle)?+\s*+(?&par)[^{;]*+
-          | (?:let|const|static)\s++(?:mut\s++)?+(?P<name>\w++)\s*+(?::[^=;]++)?+=\s*+(?:move\s++)?+\| )
+        (?: (?:pub(?:\s*+\([^)]*+\))?+\s++)?+(?:(?:default|const|async|unsafe|extern(?:\s*+"[^"]*+")?+)\s++)*+fn\s++(?P<name>(?:r\#)?+\w++)\s*+(?&angle)?+\s*+(?&par)(?:(?&array)|[^{;])*+
+          | (?:let|const|static)\s++(?:mut\s++)?+(?P<name>\w++)\s*+(?::(?:(?&array)|[^=;])++)?+=\s*+(?:async\s++)?+(?:move\s++)?+\|[^|]*+\|\s*+(?:->\s*+(?:(?&array)|[^{;])*+)?+ )
     """,
 }
 
@@ -62,10 +64,14 @@ def _braced(lang: str) -> re.Pattern:
         (?P<com>//[^\n]*+|/\*.*?(?:\*/|\Z))
         (?P<par>\((?:[^()"'`/]++|"[^"\\\n]*+"|(?&com)|(?&str)|(?&par)|["'`/])*+\))
         (?P<body>\{{(?:[^{{}}"'`/]++|"[^"\\\n]*+"|//[^\n]*+|{plain}(?&com)|(?&str)|(?&body)|["'`/])*+(?:\}}|\Z))
-        (?P<angle><(?:[^<>;{{}}]|(?&angle)|(?<=[-=])>)*+>)
-        (?P<ret>\s*+:\s*+(?:[^{{}}();=]|=>|(?&par)|\{{[^{{}}]*+\}}(?=\s*+[\[{{>|&]))*+)
+        (?P<brc>\{{(?:[^{{}}]++|(?&brc))*+\}})
+        (?P<sq>\[(?:[^\[\]]++|(?&sq))*+\])
+        (?P<angle><(?:[^<>;{{}}]|(?&angle)|(?<=[-=])>|(?&brc))*+>)
+        (?P<ret>\s*+:\s*+(?:[^{{}}();=]|=>|(?&par)|(?<=(?:[:|&<,\[]|=>)\s*)(?&brc)(?=\s*+[\[{{>|&,;\]]))*+)
+        (?P<res>\s*+(?&par)?+(?:\b(?:interface|struct)\s*+(?&brc)|[^{{\n])*+)
+        (?P<array>\[(?:[^\[\]{{}}]|\[[^\[\]{{}}]*+\])*+\])
         )
-        ^(?P<doc>(?:[ \t]*+(?:(?:(?&com)|{attr})[ \t]*+\r?+\n?+|\r?+\n))*+)[ \t]*+(?P<sig>{_HEADS[lang]})(?P<code>(?&body))?+
+        (?:^|(?<=[{{}};,][ \t]*)(?=/\*(?:[^*]++|\*(?!/))*+\*/[ \t]*+[^\s/]))(?P<doc>(?:[ \t]*+(?:(?:(?&com)|{attr})[ \t]*+\r?+\n?+|\r?+\n))*+)[ \t]*+(?P<sig>{_HEADS[lang]})(?P<code>(?&body))?+
         |^(?:[ \t]*+(?:(?:(?&com)|{attr})[ \t]*+\r?+\n?+|\r?+\n))++|(?&str)|(?&com)|[^"'`/\n]++\n?+|.""",
         re.VERBOSE | re.MULTILINE | re.DOTALL | re.VERSION0,
     )
@@ -78,21 +84,69 @@ _PYTHON = re.compile(
     (?P<par>\((?:[^()"'\#]++|\#[^\n]*+|(?&str)|(?&par)|["'])*+\))
     (?P<sq>\[(?:[^\[\]"']++|(?&str)|(?&sq)|["'])*+\])
     )
-    ^(?=[ \t]*+(?:[\#@\r\n]|async\b|def\b|\w++[ \t]*+(?::[^=\n]++)?=[ \t]*+lambda\b))(?P<doc>(?:[ \t]*+(?:\#[^\n]*+|@[\w.]++[ \t]*+(?&par)?+[ \t]*+(?:\#[^\n]*+)?+)?+\r?+\n)*+)(?P<ind>[ \t]*+)
+    ^(?=[ \t]*+(?:[\#@\r\n]|async\b|def\b|\w++[ \t]*+(?::[^=\n]++)?=[ \t]*+lambda\b))(?P<doc>(?:[ \t]*+(?:\#[^\n]*+|@[\w.]++(?:[ \t]*+(?:(?&par)|(?&sq)|\.\w++))*+[ \t]*+(?:\#[^\n]*+)?+)?+\r?+\n)*+)(?P<ind>[ \t]*+)
     (?P<sig>(?:async[ \t]++)?+def[ \t]++(?P<name>\w++)[ \t]*+(?&sq)?+[ \t]*+(?&par)(?:[ \t]*+->(?:[^:\n"'\[]|(?&str)|(?&sq))++)?+[ \t]*+:|(?P<name>\w++)[ \t]*+(?::[^=\n]++)?+=[ \t]*+lambda\b)
     (?P<tail>(?:[ \t]*+(?:\#[^\n]*+)?+\r?+\n)*+[ \t]*+(?:[rRuU]?+(?P<string>(?&str)))?+)
-    |^(?:[ \t]*+(?:\#[^\n]*+|@[\w.]++[ \t]*+(?&par)?+[ \t]*+(?:\#[^\n]*+)?+)?+\r?+\n)++|(?&str)|\#[^\n]*+|[^"'\#\n]++\n?+|.""",
+    |^(?:[ \t]*+(?:\#[^\n]*+|@[\w.]++(?:[ \t]*+(?:(?&par)|(?&sq)|\.\w++))*+[ \t]*+(?:\#[^\n]*+)?+)?+\r?+\n)++|(?&str)|\#[^\n]*+|[^"'\#\n]++\n?+|.""",
     re.VERBOSE | re.MULTILINE | re.DOTALL | re.VERSION0,
 )
 _PATTERNS: dict[str, re.Pattern] = {}
 #: one of these follows the comment of any function that the heads know; a body without is not read again
-_INNER = {"javascript": ("{", "=>"), "go": ("func",), "rust": ("fn", "|")}
+_INNER = {"javascript": re.compile(r"\{|=>|\)\s*:|\bfunction\b"), "go": re.compile("func"), "rust": re.compile(r"fn|\|")}
 
 
 def _may_hold(key: str, code: str) -> bool:
     """Whether a body can hold a documented function: a necessary condition only, the pattern decides."""
     starts = [i for i in (code.find("//"), code.find("/*")) if i >= 0]
-    return bool(starts) and any(code.find(x, min(starts)) >= 0 for x in _INNER[key])
+    return bool(starts) and _INNER[key].search(code, min(starts)) is not None
+
+
+#: the rest of a line of Python with the lines that brackets, strings and backslashes join to it
+_PY_REST = re.compile(
+    rf"""(?(DEFINE)
+    (?P<str>{_TRIPLE}|{_S2}|{_S1})
+    (?P<br>[(\[{{](?:[^()\[\]{{}}"'\#]++|\#[^\n]*+|(?&str)|(?&br)|["'])*+(?:[)\]}}]|\Z))
+    )
+    (?:[^"'\#\n\\()\[\]{{}}]++|\\\n?+|(?&str)|(?&br)|\#[^\n]*+|[^\n])*+""",
+    re.VERBOSE | re.DOTALL | re.VERSION0,
+)
+_PY_BLANK = re.compile(r"[ \t\f]*+(?:\#[^\n]*+)?+(?:\n|\Z)")
+_INDENT = re.compile(r"[ \t\f]*+")
+
+
+def _python_end(text: str, at: int, indent: str, block: bool) -> int:
+    """Where the function of that indent ends whose signature ends at ``at``: with its line, or its indented block."""
+    end = at = _PY_REST.match(text, at).end()
+    outer = len(indent.expandtabs())
+    while block and at < len(text):
+        at += 1  # the line break
+        width = len(_INDENT.match(text, at).group().expandtabs())
+        blank = _PY_BLANK.match(text, at)
+        if blank is not None:
+            at = blank.end() - blank.group().endswith("\n")
+            if width > outer and "#" in blank.group():
+                end = at
+            continue
+        if width <= outer:
+            break
+        end = at = _PY_REST.match(text, at).end()
+    return end
+
+
+_CLOSED = re.compile(
+    r"""(?(DEFINE)
+    (?P<str>"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\]|\\.)*+`)
+    (?P<br>[(\[{](?:[^()\[\]{}"'`/]++|(?&com)|(?&str)|(?&br)|["'`/])*+(?:[)\]}]|\Z))
+    (?P<com>//[^\n]*+|/\*.*?(?:\*/|\Z))
+    )
+    \s*+(?P<code>(?:[^\s;,()\[\]{}"'`/]++|[ \t]++|(?&com)|(?&str)|(?&br)|["'`/]|\s++(?=[.?:&|+\-*%=<>^/])|(?<=[=+\-*%&|?:<>^])\s++)*+)""",
+    re.VERBOSE | re.DOTALL | re.VERSION0,
+)
+
+
+def _expression(text: str, at: int) -> str:
+    """The expression that is the body of an arrow or a closure, up to the end of its statement or list element."""
+    return _CLOSED.match(text, at)["code"].strip()
 
 
 # what says nothing; fixed word lists
@@ -255,14 +309,16 @@ def pairs(lang: str, snippet: str, brief: bool = False) -> Iterator[tuple[str, s
                 inner = text[quote:-quote] if len(text) >= 2 * quote and text.endswith(text[:quote]) else text[quote:]
                 lines = lines + [""] + inner.split("\n")
             if lines and (said := content(lines, m["name"], brief)):
-                yield m["name"], "\n".join(said), m["sig"], m.group()
+                code = "" if brief else snippet[m.start():_python_end(snippet, m.end("sig"), m["ind"], m["sig"].endswith(":"))].lstrip("\n")
+                yield m["name"], "\n".join(said), m["sig"], code
         return
     key = "javascript" if lang in ("typescript", "tsx", "jsx") else lang
     if key not in _PATTERNS:
         _PATTERNS[key] = _braced(key)
     work = [snippet]
     while work:
-        for m in _PATTERNS[key].finditer(work.pop()):
+        text = work.pop()
+        for m in _PATTERNS[key].finditer(text):
             sig = m["sig"]
             if sig is None:
                 continue
@@ -270,8 +326,10 @@ def pairs(lang: str, snippet: str, brief: bool = False) -> Iterator[tuple[str, s
             if doc and ("//" in doc or "/*" in doc):
                 name = m["name"].removeprefix("r#").lstrip("#")
                 if said := content(comment_lines(doc, False), name, brief):
+                    if not code and not brief and sig.rstrip().endswith(("=>", "|")):
+                        code = _expression(text, m.end("sig"))
                     yield name, "\n".join(said), sig.strip(), code or ""
-            if code and _may_hold(key, code):
+            if m["code"] and _may_hold(key, code):
                 work.append(code[1:])
 
 

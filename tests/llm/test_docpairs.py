@@ -46,3 +46,31 @@ def test_functions_in_bodies():
     assert names("typescript", "function make() {\n  return class {\n    /** Reads what is held. */\n    async load(x: string): Promise<void> {\n    }\n  };\n}\n") == ["load"]
     assert names("rust", 'fn f() {\n    /// Counts open files.\n    #[cfg(feature = "x")]\n    fn count() {\n    }\n}\n') == ["count"]
     assert names("javascript", "function f() {\n  // Only when it is late\n  if (x) {\n  }\n}\n") == []
+
+
+def codes(lang, text):
+    return [(p[0], p[3]) for p in D.pairs(lang, text)]
+
+
+def test_whole_bodies():
+    f = 'def f(x):\n    """Reads rows from it."""\n    a = [\n1]\n\n    # odd indent\n  # of this\n    if x:\n        s = """\nno end"""\n    return a\n'
+    assert codes("python", f + "\n# Splits by weight\ndef g(x): return (x,\n  1)\n\n# Negates it fast\nneg = lambda x: {\n  x: 1}\ny = 2\n") == [
+        ("f", f[:-1]), ("g", "# Splits by weight\ndef g(x): return (x,\n  1)"), ("neg", "# Negates it fast\nneg = lambda x: {\n  x: 1}"),
+    ]
+    inner = "    # Counts open files\n    def g():\n        return 1"
+    assert codes("python", 'def f():\n    """Reads rows from it."""\n' + inner + "\n    return g\nx = 1\n") == [("f", 'def f():\n    """Reads rows from it."""\n' + inner + "\n    return g"), ("g", inner)]
+    assert codes("typescript", "// Sends rows away\nconst f = x => g(x, `)`)\n  .then(y => y);\nh();\n") == [("f", "g(x, `)`)\n  .then(y => y)")]
+    assert codes("typescript", "// Sends rows away\nconst f: (a: number) => void = (a) => {\n  x();\n};\n") == [("f", "{\n  x();\n}")]
+    assert codes("go", "// Do sends rows away.\nfunc Do() (\n\tmap[string]interface{},\n\terror,\n) {\n\tx()\n}\n") == [("Do", "{\n\tx()\n}")]
+    assert codes("go", "// Do sends rows away.\nfunc Do() map[string]interface{} {\n\tx()\n}\n") == [("Do", "{\n\tx()\n}")]
+    assert codes("rust", "/// Counts open files.\nfn a() -> [u8; 4] { b() }\n") == [("a", "{ b() }")]
+    assert codes("rust", "// Counts open files\nlet f = |x: u8| x + 1;\n// Counts all of them\nlet g = move |x: u8| -> u8 { x };\n") == [("f", "x + 1"), ("g", "{ x }")]
+
+
+def test_more_heads():
+    assert names("typescript", "// Sends rows away\nconst f = (a: string): Promise<{ b: number }> => {\n};\n// Reads rows again\nexport function g<T extends { a: { b: T } }>(a: T): { b: { c: T } } {\n}\n") == ["f", "g"]
+    assert names("typescript", "class A { /** Adds all rows. */ add() {} /** Drops old rows. */ drop() {} }\nx = 1; /* sets it at once */\nfunction f() {}\n") == ["add", "drop"]
+    assert names("typescript", "/** Reads one or all. */\nfunction f(a: string): void;\nfunction f(a) {}\ninterface A {\n  /** Sends rows away. */\n  send(x: string): { a: 1 };\n}\n// Flushes the cache\nflush(x);\n") == ["f", "send"]
+    assert names("javascript", "// Sends rows away\nfunction f(a) // and back\n{\n}\n") == ["f"]
+    assert names("python", "# Reads rows from it\n@dec[0].x\ndef f(x): return x\n") == ["f"]
+    assert names("go", "// Map maps all of them.\nfunc Map[T any, U []int](x []T) U {\n}\n") == ["Map"]
