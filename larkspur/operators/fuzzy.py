@@ -159,24 +159,47 @@ def sliding_blocks(lines: DataFrame, keys: list[str], n: int, change=F.trim) ->
     return got.select(*keys, "line_no", F.array_join("_list", "\n").alias("block"))
 
 
+#: ids of a name that meet those of another name at once
+BLOCK = 1024
+
+
 def near_names(rows: DataFrame, group: str, name: str, id_: str, most: int) -> DataFrame:
     """Pairs of names of a group within an edit distance: (group, a, b, distance), a < b by id.
 
-    By deletion neighbourhoods of pieces: names are cut into most + 1 pieces, and only names that share a piece at
-    about the same place are compared; hot pieces are spread over their positions.
+    Distinct names of a group are compared once, by deletion neighbourhoods of pieces: names are cut into most + 1
+    pieces, and only names that share a piece at about the same place are compared. The ids of near names then meet in
+    blocks, dealt over the tasks, so that neither a hot group nor a hot name is left to one task. Repeated rows count
+    each; a null group, name or id has no pairs.
     """
-    spread = rows.select(group, F.col(id_).alias("_id"), F.col(name).alias("_name")).dropDuplicates([group, "_id"])
+    named = rows.select(group, F.col(id_).alias("_id"), F.col(name).alias("_name")).dropna()
+    counts = named.groupBy(group, "_name").agg(F.count("*").alias("_n"))
+    near = _near(counts.select(group, "_name"), group, most)
+    block = F.pmod(F.xxhash64("_id"), F.ceil(F.col("_n") / BLOCK)).alias("_block")
+    blocks = named.join(counts, [group, "_name"]).select(group, "_name", block, "_id").groupBy(group, "_name", "_block").agg(F.collect_list("_id").alias("_ids"))
+    others = blocks.select(group, F.col("_name").alias("_name2"), F.col("_block").alias("_block2"), F.col("_ids").alias("_ids2"))
+    met = near.join(blocks, [group, "_name"]).join(others, [group, "_name2"])
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    met = met.where("_name < _name2 or _block <= _block2").repartition(tasks, group, "_name", "_name2", "_block", "_block2")
+    # inside a block each two ids meet twice and the filter keeps one of both; else once, in either order
+    once = (F.col("_name") == F.col("_name2")) & (F.col("_block") == F.col("_block2"))
+    pairs = met.select(group, "distance", once.alias("_inside"), F.explode("_ids").alias("_a"), "_ids2").select(group, "distance", "_inside", "_a", F.explode("_ids2").alias("_b"))
+    kept = pairs.where("if(_inside, _a < _b, _a != _b)")
+    return kept.select(group, F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), "distance")
+
+
+def _near(names: DataFrame, group: str, most: int) -> DataFrame:
+    """(group, _name, _name2, distance) of distinct names, _name <= _name2, each with itself too."""
     n = most + 1
     size = F.length("_name")
     lo = lambda i: F.floor(size * i / n).cast("int")
-    pieces = F.array(*[F.struct(F.lit(i).alias("k"), F.substr("_name", lo(i) + 1, lo(i + 1) - lo(i)).alias("piece"), lo(i).alias("at")) for i in range(n)])
-    left = spread.select(group, "_id", "_name", size.alias("_len"), F.inline(pieces))
-    shifts = F.sequence(F.lit(-most), F.lit(most))
-    right = spread.select(group, F.col("_id").alias("_id2"), F.col("_name").alias("_name2"), F.explode(F.sequence(F.greatest(size - most, F.lit(0)), size + most)).alias("_len"))
+    pieces = F.array(*[F.struct(F.lit(i).alias("k"), F.substr("_name", lo(i) + 1, lo(i + 1) - lo(i)).alias("piece")) for i in range(n)])
+    left = names.select(group, "_name", size.alias("_len"), F.inline(pieces))
+    right = names.select(group, F.col("_name").alias("_name2"), F.explode(F.sequence(F.greatest(size - most, F.lit(0)), size + most)).alias("_len"))
     probe = right.withColumn("k", F.explode(F.array(*[F.lit(i) for i in range(n)])))
     probe = probe.withColumn("at0", F.floor(F.col("_len") * F.col("k") / n).cast("int")).withColumn("want", (F.floor(F.col("_len") * (F.col("k") + 1) / n) - F.floor(F.col("_len") * F.col("k") / n)).cast("int"))
-    probe = probe.withColumn("shift", F.explode(shifts)).where(F.col("at0") + F.col("shift") >= 0)
+    probe = probe.withColumn("shift", F.explode(F.sequence(F.lit(-most), F.lit(most)))).where(F.col("at0") + F.col("shift") >= 0)
     probe = probe.withColumn("piece", F.substr("_name2", F.col("at0") + F.col("shift") + 1, F.col("want"))).where(F.length("piece") == F.col("want"))
-    met = left.join(probe, [group, "_len", "k", "piece"]).where("_id < _id2").select(group, "_id", "_id2", "_name", "_name2").distinct()
-    scored = met.withColumn("distance", F.levenshtein("_name", "_name2", most))
-    return scored.where("distance >= 0").select(group, F.col("_id").alias("a"), F.col("_id2").alias("b"), "distance")
+    met = left.join(probe, [group, "_len", "k", "piece"]).where("_name < _name2").select(group, "_name", "_name2").distinct()
+    scored = met.withColumn("distance", F.levenshtein("_name", "_name2", most)).where("distance >= 0")
+    return scored.union(names.select(group, "_name", F.col("_name").alias("_name2"), F.lit(0)))

@@ -93,3 +93,22 @@ def test_drift_lookup(spark):
     lines = spark.createDataFrame([(1, i + 1, x) for i, x in enumerate(text)], "file_id bigint, line_no int, line string")
     asked = spark.createDataFrame([(1, 1, "run", 5), (2, 1, "run", 2), (3, 1, "Far", 4), (4, 1, "x", 9), (5, 1, "nowhere", 1)], "symbol_id bigint, file_id bigint, name string, start_line int")
     assert {(r.symbol_id, r.line_no, r.tier) for r in search.drift_lookup(asked, lines, ["file_id"], "symbol_id").collect()} == {(1, 5, 0), (2, 5, 1), (3, 48, 2), (4, 1, 3)}
+
+
+def test_near_names_with_repeated_names(spark, monkeypatch):
+    import random
+
+    r = random.Random(2)
+    monkeypatch.setattr(fuzzy, "BLOCK", 4)
+    names = [(i, r.choice(["x", "y", None]), r.choice(["red rod", "red rot", "old gear", "", "ab", None])) for i in range(80)]
+    names += [names[3], (3, names[3][1], "red rod"), (None, "x", "ab")]
+    df = spark.createDataFrame(names, "id int, g string, name string")
+    want = sorted((g, i, j, fuzzy.distance(a, b, 99)) for i, g, a in names for j, h, b in names if None not in (i, j, g, a, b) and g == h and i < j and fuzzy.distance(a, b, 99) <= 3)
+    assert sorted(tuple(x) for x in fuzzy.near_names(df, "g", "name", "id", 3).collect()) == want
+
+
+def test_near_names_compares_each_name_once(spark):
+    same = spark.range(3000).selectExpr("id", "'x' as g", "concat('red rod ', id % 3) as name")
+    got = fuzzy.near_names(same, "g", "name", "id", 3)
+    assert got.groupBy("distance").count().orderBy("distance").collect() == [(0, 3 * 1000 * 999 // 2), (1, 3 * 1000 * 1000)]
+    assert fuzzy._near(same.select("g", F.col("name").alias("_name")).distinct(), "g", 3).count() == 6
