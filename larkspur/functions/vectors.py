@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,9 +20,13 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body over a value that is worked out once a row, however often the body, or a lambda in it, names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def unit(a: Column) -> Column:
-    n = norm(a)
-    return F.when(n > 0, F.transform(a.cast("array<double>"), lambda x: x / n)).otherwise(a.cast("array<double>"))
+    return let(a.cast("array<double>"), lambda v: let(norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)))
 
 
 def similarity_score(distance: Column) -> Column:
@@ -30,7 +36,7 @@ def similarity_score(distance: Column) -> Column:
 
 def trigram_embedding(text: Column, dim: int = 64) -> Column:
     """Unit vector of hashed character trigrams: deterministic, without a model."""
-    low = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.pmod(F.crc32(F.substr(low, i, F.lit(3)).cast("binary")), F.lit(dim)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.size(F.filter(grams, lambda g: g == k)).cast("double"))
-    return unit(counts)
+    cut = lambda low: F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.pmod(F.crc32(F.substr(low, i, F.lit(3)).cast("binary")), F.lit(dim)))
+    grams = let(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), cut)
+    count = lambda g: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.size(F.filter(g, lambda x: x == k)).cast("double"))
+    return unit(let(grams, count))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import paths, text
 from .operators import diagnostics, extract, fuzzy, graph, index, joins, plantree, search, shred, timeline
-from .plans.tables import table
+from .plans.tables import spread, table
 
 HOUR, MINUTE, DAY = 3_600_000_000, 60_000_000, 86_400_000_000
 
@@ -487,7 +487,7 @@ def text_embedding(s, d):
     from .functions.vectors import trigram_embedding
 
     e = trigram_embedding(F.col("p_name"), 16)
-    return table(s, d, "part").select("p_partkey", F.array_join(F.transform(e, lambda x: F.round(x, 4).cast("string")), ",").alias("embedding"))
+    return spread(table(s, d, "part").select("p_partkey", "p_name")).select("p_partkey", F.array_join(F.transform(e, lambda x: F.round(x, 4).cast("string")), ",").alias("embedding"))
 
 
 def p1_cancelled(s, d):

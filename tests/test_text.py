@@ -112,3 +112,23 @@ def test_near_names_compares_each_name_once(spark):
     got = fuzzy.near_names(same, "g", "name", "id", 3)
     assert got.groupBy("distance").count().orderBy("distance").collect() == [(0, 3 * 1000 * 999 // 2), (1, 3 * 1000 * 1000)]
     assert fuzzy._near(same.select("g", F.col("name").alias("_name")).distinct(), "g", 3).count() == 6
+
+
+def test_trigram_embedding_is_worked_out_once(spark):
+    import math
+    import zlib
+
+    from larkspur.functions.vectors import trigram_embedding
+
+    def want(x):
+        counts = [0.0] * 16
+        low = None if x is None else f" {x.lower()} "
+        for i in range(max(len(low) - 2, 1) if low else 0):
+            counts[zlib.crc32(low[i:i + 3].encode()) % 16] += 1
+        n = math.sqrt(sum(c * c for c in counts))
+        return [c / n for c in counts] if n else counts
+
+    texts = [None, "", "a", "Red Rod", "Größe über alles", "ab" * 500]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "id int, t string").select("id", trigram_embedding(F.col("t"), 16).alias("e"))
+    assert [r.e for r in df.orderBy("id").collect()] == [want(x) for x in texts]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("crc32") == 1
